@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .exact import OP2_SQL, op2_exact_dedup
+from .urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_url_filter": op9_url_filter,
 }
 
 SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op9_url_filter": OP9_SQL,
 }
