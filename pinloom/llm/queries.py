@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact import OP2_SQL, op2_exact_dedup
+from .pii import op1_pii
 from .urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
 }
 
 SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
