@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact import OP2_SQL, op2_exact_dedup
+from .packing import op6_pack
 from .pii import op1_pii
+from .tokens import op5_token_files
 from .urls import OP9_SQL, op9_url_filter
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op6_pack": op6_pack,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
 }
