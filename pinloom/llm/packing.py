@@ -2,7 +2,8 @@
 
 Each piece goes to the open sequence, or a new one, after which the sum over residual gaps of the
 squared number of open sequences with that gap is smallest; equal choices take the tightest gap.
-Longest pieces come first. Only lengths are packed: ids stay in the pieces table.
+The rule wants no sorted stream, so pieces come shuffled, but for the shortest fifth, which come last,
+longest first, to fill what is left. Only lengths are packed: ids stay in the pieces table.
 
 Pieces are dealt evenly by a hash of their key to as many packers as their number asks for. A
 packer handles a bounded number of pieces and keeps one counter for each gap, so each leaves at
@@ -26,13 +27,20 @@ MAX_TOKENS = 4096
 PIECES_PER_PACKER = 250_000
 
 
-def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each length, longest first; lengths are from 0 to size."""
+def placing_order(lengths: np.ndarray, last: float = 0.2) -> np.ndarray:
+    """Shuffled with a fixed seed, the shortest ``last`` of all after that, longest first."""
+    down = np.argsort(-lengths, kind="stable")
+    cut = len(down) - int(len(down) * last)
+    return np.concatenate([np.random.default_rng(0).permutation(down[:cut]), down[cut:]])
+
+
+def sum_of_squares(lengths: np.ndarray, size: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each length, placed in this order; lengths are from 0 to size."""
     open_bins: list[list[int]] = [[] for _ in range(size + 1)]
     count = np.zeros(size + 1, np.int64)
     used: list[int] = []
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-lengths, kind="stable").tolist():
+    for i in order.tolist():
         n = int(lengths[i])
         # Moving a bin from gap g to g - n changes the sum by 2 (count[g - n] - count[g]) + 2, without
         # the new gap's part where it is closed (0); a new bin adds 2 count[size - n] + 1.
@@ -98,7 +106,8 @@ def pack(pieces: DataFrame, scratch: Scratch, max_tokens: int = MAX_TOKENS, per_
     kind = pieces.schema["doc_id"].dataType.simpleString()
 
     def run(key, group):
-        bins, offsets = sum_of_squares(group.column("length").to_numpy(), max_tokens)
+        lengths = group.column("length").to_numpy()
+        bins, offsets = sum_of_squares(lengths, max_tokens, placing_order(lengths))
         ids = bins * packers + key[0].as_py()
         return group.drop_columns(["packer"]).append_column("sequence_id", pa.array(ids * 2)).append_column("offset", pa.array(offsets))
 

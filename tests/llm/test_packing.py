@@ -12,35 +12,28 @@ from pinloom.llm.tokens import vocabulary_path
 from tests.llm.conftest import docs_frame
 
 
-def brute(lengths, size):
-    """The rule word for word: try each gap and a new bin, take the smallest sum of squares, the tightest gap at ties."""
-    gaps, out = [], {}
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        n, best = lengths[i], None
-        for g in sorted({x for x in gaps if x >= n}) + [size]:
-            if g == size and n == 0 and any(x > 0 for x in gaps):
-                continue
-            new = [x for x in gaps if x]
-            if g in new:
+def brute(lengths, size, order):
+    """The rule word for word: of all open gaps and a new bin, the smallest sum of squares; an open bin at ties, the tightest."""
+    gaps = []
+    for i in order:
+        n, choices = lengths[i], []
+        for rank, g in [(0, g) for g in sorted({x for x in gaps if x >= n})] + [(1, size)]:
+            new = list(gaps)
+            if rank == 0:
                 new.remove(g)
             if g - n:
                 new.append(g - n)
-            key = sum(new.count(x) ** 2 for x in set(new)), g
-            if (g != size or True) and (best is None or key[0] < best[0]):
-                best = (*key, g)
-        g = best[-1]
-        if g in gaps and g > 0 and (g != size or True) and best[1] != size:
-            gaps.remove(g)
-        if g - n:
-            gaps.append(g - n)
-        out[i] = g
+            choices.append((sum(new.count(x) ** 2 for x in set(new)), rank, g, new))
+        gaps = min(choices)[-1]
     return sorted(gaps)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=40))
 def test_rule(lengths):
-    bins, offsets = packing.sum_of_squares(np.array(lengths, np.int64), 20)
+    array = np.array(lengths, np.int64)
+    order = packing.placing_order(array)
+    bins, offsets = packing.sum_of_squares(array, 20, order)
     used = defaultdict(list)
     for b, o, n in zip(bins, offsets, lengths):
         used[b].append((o, n))
@@ -52,7 +45,7 @@ def test_rule(lengths):
             at += n
         assert at <= 20
         gaps += [20 - at] * (at < 20)
-    assert sorted(gaps) == brute(lengths, 20)
+    assert sorted(gaps) == brute(lengths, 20, order.tolist())
 
 
 @pytest.mark.parametrize("per_packer", [3, 100_000])
