@@ -6,6 +6,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact import OP2_SQL, op2_exact_dedup
 from .packing import op6_pack
 from .pii import op1_pii
+from .quality import op10_quality
 from .tokens import op5_token_files
 from .urls import OP9_SQL, op9_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_pack": op6_pack,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 
 SQL = {
