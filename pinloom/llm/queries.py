@@ -9,10 +9,12 @@ from .pii import op1_pii
 from .quality import op10_quality
 from .tokens import op5_token_files
 from .urls import OP9_SQL, op9_url_filter
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_warc": op3_warc,
     "op5_token_files": op5_token_files,
     "op6_pack": op6_pack,
     "op8_decontaminate": op8_decontaminate,
@@ -22,6 +24,7 @@ QUERIES = {
 
 SQL = {
     "op2_exact_dedup": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }

@@ -25,7 +25,7 @@ from .common import Scratch, small_batches, table
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words a worker remembers; the table starts anew when full (about 150 bytes a word).
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 ROWS_PER_FILE = 200_000
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 2000
@@ -104,7 +104,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_batches(batches, path: str, end_id: int | None, rows: int = 256):
+def encode_batches(batches, path: str, end_id: int | None, rows: int = 512):
     """(batch, ids of its texts) in slices of few rows; null counts as empty."""
     enc = encoder(path)
     end = np.array([] if end_id is None else [end_id], "<u4")
