@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact import OP2_SQL, op2_exact_dedup
+from .jaccard import OP4_SQL, op4_jaccard
 from .packing import op6_pack
 from .pii import op1_pii
 from .quality import op10_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
+    "op4_jaccard": op4_jaccard,
     "op5_token_files": op5_token_files,
     "op6_pack": op6_pack,
     "op8_decontaminate": op8_decontaminate,
@@ -25,6 +27,7 @@ QUERIES = {
 SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op4_jaccard": OP4_SQL,
     "op8_decontaminate": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }
