@@ -8,6 +8,7 @@ from .jaccard import OP4_SQL, op4_jaccard
 from .packing import op6_pack
 from .pii import op1_pii
 from .quality import op10_quality
+from .repeats import op7_repeats
 from .tokens import op5_token_files
 from .urls import OP9_SQL, op9_url_filter
 from .warc import OP3_SQL, op3_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_jaccard": op4_jaccard,
     "op5_token_files": op5_token_files,
     "op6_pack": op6_pack,
+    "op7_repeats": op7_repeats,
     "op8_decontaminate": op8_decontaminate,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
