@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, broadcast_if_small, table
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -30,8 +30,11 @@ def _record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
 
-def records_of(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, html, sha1, bytes, keep: keep is the page_id that a revisit refers to, else null."""
+def records_of(pages: DataFrame, scratch: Scratch, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """page_id, url, html, sha1, bytes, keep: keep is the page_id that a revisit refers to, else null.
+
+    Groups of equal payloads, one narrow row each, are counted and then broadcast if they are few.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", "url", html.alias("html")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html"))
     groups = (
@@ -41,12 +44,13 @@ def records_of(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         .where("copies > 1 and keep is not null")
         .drop("copies")
     )
-    return p.join(groups, "sha1", "left").withColumn("keep", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    groups = scratch.save(groups, "groups")
+    return p.join(broadcast_if_small(groups, groups.count()), "sha1", "left").withColumn("keep", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:
+def write_warc(pages: DataFrame, path: str, scratch: Scratch, min_revisit: int = MIN_REVISIT) -> None:
     """One record per page. Null html is an empty payload; repeated rows (equal page_id and payload) are all responses."""
-    r = records_of(pages, min_revisit)
+    r = records_of(pages, scratch, min_revisit)
     revisit = F.col("keep").isNotNull()
     http = F.concat(F.lit(HTTP + "\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
@@ -180,7 +184,7 @@ def page_records(records: DataFrame) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), scratch.path("warc"))
+    write_warc(table(spark, sf_dir, "pages"), scratch.path("warc"), scratch)
     return page_records(read_warc(spark, scratch.path("warc"), scratch))
 
 

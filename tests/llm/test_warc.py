@@ -47,7 +47,7 @@ def expected(rows, least=1000):
 def test_round_trip(spark, split):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").withColumn("sha1", __import__("pyspark").sql.functions.lit(1))
     scratch = Scratch(spark, "test")
-    warc.write_warc(df.coalesce(2), scratch.path("warc"))
+    warc.write_warc(df.coalesce(2), scratch.path("warc"), scratch)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         got = warc.page_records(warc.read_warc(spark, scratch.path("warc"), scratch)).collect()
@@ -59,5 +59,5 @@ def test_round_trip(spark, split):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     scratch = Scratch(spark, "test")
-    warc.write_warc(df, scratch.path("warc"))
+    warc.write_warc(df, scratch.path("warc"), scratch)
     assert warc.read_warc(spark, scratch.path("warc"), scratch).count() == 0
