@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as single texts may be very long."""
+    """Before Python code runs on executors: they get it, and Arrow batches of few rows, as single texts may be very long."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's code to the executors, once a session, for those that don't have it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp()  # on the driver only: Spark copies it from there
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder: they cut lineage and outlive executors."""
 
