@@ -31,7 +31,7 @@ VOWELS = ("a", "e", "o")
 FINALS = {
     "": "ai an ang ao ei en eng er ou",
     "b": "a ai an ang ao ei en eng i ian iang iao ie in ing o ong u",
-    "c": "a ai an ang ao e en eng i ong ou u uan ui un uo",
+    "c": "a ai an ang ao e ei en eng i ong ou u uan ui un uo",
     "ch": "a ai an ang ao e en eng i ong ou u ua uai uan uang ui un uo",
     "d": "a ai an ang ao e ei en eng i ia ian iao ie in ing iu ong ou u uan ui un uo",
     "f": "a an ang ei en eng iao o ou u",

@@ -41,5 +41,12 @@ class Lookup:
         rest = F.call_function("substring_index", F.call_function("substring_index", bucket, mark, F.lit(-1)), F.lit(_ENTRY), F.lit(1))
         return F.when(rest != "", F.substring(rest, 2, 1 << 30))
 
+    def sql(self, key: str) -> str:
+        """The same lookup as SQL text; ``key`` is an expression."""
+        literal = "'" + self.text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        bucket = f"element_at(split({literal}, '{_BUCKET}', -1), CAST(pmod(xxhash64({key}), {self.buckets}L) + 1 AS INT))"
+        rest = f"substring_index(substring_index({bucket}, concat('{_ENTRY}', {key}, '{_VALUE}'), -1), '{_ENTRY}', 1)"
+        return f"(CASE WHEN {rest} <> '' THEN substring({rest}, 2) END)"
+
     def has(self, key: Column) -> Column:
         return self(key).isNotNull()

@@ -19,7 +19,7 @@ def phrase_regex(query: Column) -> Column:
 def _with_gaps(terms: Column, query: Column) -> Column:
     """Ordered terms with at most slope terms skipped in all. State: (end, cost) of partial matches, cheapest per end."""
     place = F.sequence(F.lit(0), F.greatest(F.size(terms) - 1, F.lit(0)))
-    hit = lambda i, p: F.concat(F.lit("^"), _term(p), F.lit("$")).isNotNull() & F.call_function("rlike", F.element_at(terms, i + 1), F.concat(F.lit("^(?:"), _term(p), F.lit(")$")))
+    hit = lambda i, p: F.call_function("rlike", F.get(terms, i), F.concat(F.lit("^(?:"), _term(p), F.lit(")$")))
     slope = F.coalesce(query["slope"], F.lit(0))
 
     def step(states: Column, p: Column) -> Column:
