@@ -31,7 +31,7 @@ from .common import Scratch, broadcast_if_small, small_batches, table
 
 LENGTH = 400
 GRAM = 48
-MAX_CONTEXTS = 20_000
+MAX_CONTEXTS = 100_000
 #: Bytes of spans or grams that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
