@@ -9,10 +9,10 @@ and takes an ordinary shuffle of digests. Only DataFrame operations run here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, table
+from .common import Scratch, ascii_lower, broadcast_if_small, table
 
 #: Proposed digests; also the bound of the broadcast table (about 150 bytes a row).
 MAX_HEAVY = 2000
@@ -20,19 +20,13 @@ MAX_HEAVY = 2000
 COUNTERS = 20000
 
 
-def exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS) -> DataFrame:
-    """One row per document: doc_id, text_sha256, keep_id, group_size, kept.
+def _digest(text: str = "text") -> Column:
+    return F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text), F.lit(""))), "UTF-8"), 256)
 
-    Of equal texts the row with the largest doc_id stays. Null text counts as empty. A null doc_id
-    ranks below all others. Of repeated rows with the same doc_id and equal texts one is kept.
-    An empty table gives an empty result.
-    """
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    digests = scratch.save(
-        docs.select("doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
-        .withColumn("row", F.monotonically_increasing_id()),
-        "digests",
-    )
+
+def _split(docs: DataFrame, scratch: Scratch, max_heavy: int, counters: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, winners): doc_id, text_sha256, row, best, group_size of each row; and of the heavy digests alone."""
+    digests = scratch.save(docs.select("doc_id", _digest().alias("text_sha256")).withColumn("row", F.monotonically_increasing_id()), "digests")
     best = F.max(F.struct("doc_id", "row"))
     proposed = digests.agg(F.expr(f"approx_top_k(text_sha256, {max_heavy}, {counters})").alias("top")).select(
         F.explode("top.item").alias("text_sha256")
@@ -45,15 +39,27 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEA
         "winners",
     )
     marked = digests.join(F.broadcast(winners), "text_sha256", "left")
-    heavy = marked.where("group_size is not null")
+    heavy = marked.where("group_size is not null").withColumn("heavy", F.lit(True))
     w = Window.partitionBy("text_sha256")
     rest = (
         marked.where("group_size is null")
         .drop("best", "group_size")
         .withColumn("best", best.over(w))
         .withColumn("group_size", F.count(F.lit(1)).over(w))
+        .withColumn("heavy", F.lit(False))
     )
-    return heavy.unionByName(rest).select(
+    return heavy.unionByName(rest), winners
+
+
+def exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS) -> DataFrame:
+    """One row per document: doc_id, text_sha256, keep_id, group_size, kept.
+
+    Of equal texts the row with the largest doc_id stays. Null text counts as empty. A null doc_id
+    ranks below all others. Of repeated rows with the same doc_id and equal texts one is kept.
+    An empty table gives an empty result.
+    """
+    rows, _ = _split(docs, scratch, max_heavy, counters)
+    return rows.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
@@ -62,22 +68,30 @@ def exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEA
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that stay, with the same columns; ties and nulls as in exact_duplicates().
 
-    Repeated rows (same doc_id, equal text) are reduced to the smallest by their other columns.
+    Copies of heavy digests go map-side, as the winners are broadcast; the others go by an anti join
+    with the keys that lost, broadcast if they are few. Repeated rows (same doc_id, equal text) are
+    reduced to the smallest by their other columns.
     """
-    rows = scratch.save(exact_duplicates(docs, scratch), "decisions")
-    gone = rows.groupBy("doc_id", "text_sha256").agg(
-        F.max(F.col("kept").cast("int")).alias("any_kept"), F.count(F.lit(1)).alias("n")
-    ).where("any_kept = 0 or n > 1")
-    text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    d = docs.withColumn("__sha", F.sha2(F.encode(text, "UTF-8"), 256))
-    g = gone.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__g"), "any_kept")
-    marked = d.join(g, d["doc_id"].eqNullSafe(g["__id"]) & (d["__sha"] == g["__g"]), "left")
-    once = marked.where("__g is null").select(*docs.columns)
-    tied = marked.where("any_kept = 1").groupBy("__sha").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return once.unionByName(tied.select(*docs.columns))
+    rows, winners = _split(docs, scratch, max_heavy, counters)
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    keys = rows.where("group_size > 1").where(is_best | ~F.col("heavy")).groupBy("doc_id", "text_sha256").agg(
+        F.max(is_best.cast("int")).alias("stays"), F.count(F.lit(1)).alias("n")
+    )
+    keys = scratch.save(keys.where("stays = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"), "stays"), "keys")
+    n, ties = keys.agg(F.count(F.lit(1)), F.sum("stays")).first()
+    side = broadcast_if_small(keys, n)
+    won = winners.select(F.col("text_sha256").alias("__won"), F.col("best.doc_id").alias("__best"))
+    d = docs.withColumn("__sha", _digest())
+    d = d.join(F.broadcast(won), F.col("__sha") == F.col("__won"), "left").where(F.col("__won").isNull() | F.col("doc_id").eqNullSafe(F.col("__best")))
+    same = d["doc_id"].eqNullSafe(side["__id"]) & (d["__sha"] == side["__key"])
+    once = d.join(side, same, "left_anti").select(*docs.columns)
+    if not ties:
+        return once
+    tied = d.join(side.where("stays = 1"), same, "left_semi").groupBy("__sha").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return once.unionByName(tied.select("r.*").select(*docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
