@@ -8,20 +8,22 @@ word before it counts.
 
 The hash set grows with the benchmark alone, not with the corpus. Its words are counted first; a
 benchmark of more than ``limit`` words is cut into several sets of that size, each broadcast to a
-scan of its own, and the hits are united.
+scan of its own, one after the other, and their hits are united before a document is judged.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import Scratch, small_batches, table
+from .common import small_batches, table
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in RATIO of its words is hit.
@@ -33,6 +35,8 @@ LIMIT = 1_000_000
 _WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
+_RUNS = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+HITS = "struct<n_words:long,spans:array<struct<first:long,end:long>>,items:array<string>>"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,89 +108,79 @@ def _batches(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
     yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_words, spans [(first, end) words that are hit], items, n_hit, contaminated.
-
-    Null and empty texts have no words and are clean, as are documents of an empty benchmark. Null
-    items have no windows; a null item_id counts as the name 'null'. Repeated rows are judged each
-    by itself. Windows of repeated items count for each of them.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = [_scan(spark, docs, Grams(items, window), ratio) for items in _batches(benchmark, limit)]
-    if len(parts) == 1:
-        return parts[0]
-    # Each further set scans again, keyed by the row's number; spans of several sets are united.
-    keyed = docs.withColumn("doc_key", F.monotonically_increasing_id())
-    parts = [_scan(spark, keyed, Grams(items, window), ratio, "doc_key") for items in _batches(benchmark, limit)]
-    every = reduce(DataFrame.unionByName, parts)
-    joined = every.groupBy("doc_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-    n_hit = F.aggregate(
-        "spans", start,
-        lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["first"]))).alias("n")),
-        lambda acc: acc["n"],
-    )
-    return joined.withColumn("n_hit", n_hit).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("n_words"))
-    ).drop("doc_key")
-
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> DataFrame:
+    """``docs`` with hits: struct of n_words, spans [(first, end)] and items, after a scan with each set in turn."""
+    small_batches(docs.sparkSession)
+    out = docs
+    for items in _batches(benchmark, limit):
+        out = _scan(out, Grams(items, window))
+    return out
 
-def _scan(spark: SparkSession, docs: DataFrame, grams: Grams, ratio: int, key: str | None = None) -> DataFrame:
-    shared = spark.sparkContext.broadcast(grams)
-    key_field = f"{key} long, " if key else ""
-    schema = f"{key_field}doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, contaminated boolean, spans array<struct<first:long,end:long>>, items array<string>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+def _scan(docs: DataFrame, grams: Grams) -> DataFrame:
+    """Adds what a set finds to ``__hits``, which earlier sets may have begun."""
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+    old = docs if "__hits" in docs.columns else docs.withColumn("__hits", F.lit(None).cast(HITS))
+    kind = to_arrow_schema(StructType.fromDDL(f"h {HITS}")).field("h").type
 
     def run(batches):
         for batch in batches:
-            n_words, n_hit, bad, spans, items = [], [], [], [], []
-            for text in batch.column("text"):
-                n, hit, names = shared.value.scan(text.as_py())
+            found = []
+            for text, before in zip(batch.column("text"), batch.column("__hits").to_pylist()):
+                n, hit, items = shared.value.scan(text.as_py())
+                for s in before["spans"] if before else ():
+                    hit[s["first"] : s["end"]] = True
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                k = int(hit.sum())
-                n_words.append(n)
-                n_hit.append(k)
-                bad.append(k > 0 and ratio * k >= n)
-                spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                items.append(sorted(names))
-            head = [batch.column(key)] if key else []
-            cols = [*head, batch.column("doc_id"), n_words, n_hit, bad, spans, items]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                spans = [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
+                found.append({"n_words": n, "spans": spans, "items": sorted(items.union(before["items"] if before else ()))})
+            i = batch.schema.get_field_index("__hits")
+            yield batch.set_column(i, "__hits", pa.array(found, kind))
+
+    return old.mapInArrow(run, old.schema)
 
-    return docs.select(*([key] if key else []), "doc_id", "text").mapInArrow(run, schema)
+
+def _judged(docs: DataFrame, ratio: int) -> DataFrame:
+    n_hit = F.aggregate("__hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    d = docs.withColumn("__n_hit", n_hit)
+    return d.withColumn("__bad", (F.col("__n_hit") > 0) & (F.col("__n_hit") * ratio >= F.col("__hits.n_words")))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, limit: int = LIMIT) -> DataFrame:
+    """One row per document: doc_id, n_words, spans [(first, end) words that are hit], items, n_hit, contaminated.
+
+    Null and empty texts have no words and are clean, as are documents of an empty benchmark. Null
+    items have no windows; a null item_id counts as the name 'null'. Repeated rows are judged each
+    by itself. Windows of repeated items count for each of them.
+    """
+    found = _judged(_scanned(docs.select("doc_id", "text"), benchmark, window, limit), ratio)
+    return found.select("doc_id", "__hits.n_words", "__hits.spans", "__hits.items", F.col("__n_hit").alias("n_hit"), F.col("__bad").alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, limit: int = LIMIT) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; a single scan without a join."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    out = docs
-    for items in _batches(benchmark, limit):
-        out = _keep_clean(spark, out, Grams(items, window), ratio)
-    return out
+    """The documents that aren't contaminated, with all their columns; scans without a join."""
+    return _judged(_scanned(docs, benchmark, window, limit), ratio).where(~F.col("__bad")).select(*docs.columns)
 
 
-def _keep_clean(spark: SparkSession, docs: DataFrame, grams: Grams, ratio: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(grams)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with the words that are hit, and what stands between them, cut out of the text."""
+    found = _scanned(docs, benchmark, window, limit)
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for text in batch.column("text"):
-                n, hit, _ = shared.value.scan(text.as_py())
-                k = int(hit.sum())
-                keep.append(not (k > 0 and ratio * k >= n))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            texts = []
+            for text, hits in zip(batch.column("text").to_pylist(), batch.column("__hits").to_pylist()):
+                if text is not None and hits["spans"]:
+                    data = text.encode("utf-8", "surrogatepass")
+                    places = [m.span() for m in _RUNS.finditer(data)]
+                    at, parts = 0, []
+                    for s in hits["spans"]:
+                        parts.append(data[at : places[s["first"]][0]])
+                        at = places[s["end"] - 1][1]
+                    text = b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
+                texts.append(text)
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["__hits"])
+
+    return found.mapInArrow(run, docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,10 +151,12 @@ def test_decontaminate(spark, limit):
         n, k, found = brute_hits(t, items, 4)
         r = got[d]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (n, k, found, k > 0 and 20 * k >= n)
-    if limit > 100:
-        kept = decontaminate.drop_contaminated(df, bench, 4, 20, limit)
-        assert kept.columns == df.columns
-        assert sorted(r.doc_id for r in kept.collect()) == [d for d in range(len(texts)) if not got[d].contaminated]
+    kept = decontaminate.drop_contaminated(df, bench, 4, 20, limit)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [d for d in range(len(texts)) if not got[d].contaminated]
+    for r in decontaminate.remove_spans(df, bench, 4, limit).collect():
+        left = [w for i, w in enumerate(words(texts[r.doc_id])) if not any(s["first"] <= i < s["end"] for s in got[r.doc_id].spans)]
+        assert words(r.text) == left and (r.text == texts[r.doc_id] or got[r.doc_id].n_hit)
     assert decontaminate.contamination(df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(df, bench.limit(0)).collect())
 
