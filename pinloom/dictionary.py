@@ -112,6 +112,20 @@ class Dictionary:
     def word_first(self) -> Lookup:
         return Lookup({k: first_readings(v) for k, v in self.words.items()})
 
+    @cached_property
+    def spans(self) -> dict[str, str]:
+        """First readings of words that spans of single characters can form."""
+        return {k: first_readings(v) for k, v in self.words.items() if len(k) > 1 and not any(c.isspace() or (c.isascii() and c.isalnum()) for c in k)}
+
+    @cached_property
+    def span_first(self) -> Lookup:
+        return Lookup(self.spans)
+
+    @cached_property
+    def span_lengths(self) -> list[int]:
+        """Lengths of those words, longest first."""
+        return sorted({len(k) for k in self.spans}, reverse=True)
+
     @cached_property
     def max_word_len(self) -> int:
         return max(map(len, self.words), default=0)

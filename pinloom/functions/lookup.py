@@ -1,12 +1,13 @@
 """Dictionary lookups as plain expressions.
 
-A dictionary becomes one string literal, split to an array of buckets when the plan is optimised.
-A key's bucket is found by its hash, so a lookup takes constant time, needs no join, shuffle or
-Python worker, and works inside higher-order functions, where a map's lookup would be linear.
+A dictionary becomes one JSON literal, folded to an array of small maps when the plan is optimised. A
+key's map is found by its hash, so a lookup takes constant time, needs no join, shuffle or Python
+worker, and works inside higher-order functions, where one large map's lookup would be linear.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 import xxhash
@@ -15,38 +16,30 @@ from pyspark.sql import functions as F
 
 #: Bytes a dictionary may have as a literal; larger ones belong in a join.
 MAX_BYTES = 32 << 20
-_BUCKET, _ENTRY, _VALUE = "\x1e", "\x1f", "\x1d"
+_TYPE = "array<map<string,string>>"
 
 
 class Lookup:
     """key -> value for string columns; absent and null keys give null."""
 
     def __init__(self, entries: Mapping[str, str]):
-        if bad := next((k for k, v in entries.items() if any(c in k + v for c in (_BUCKET, _ENTRY, _VALUE))), None):
-            raise ValueError(f"control characters in the dictionary entry {bad!r}")
         self.buckets = 1 << max(0, len(entries) - 1).bit_length()
-        parts = [""] * self.buckets
+        parts: list[dict[str, str]] = [{} for _ in range(self.buckets)]
         for key, value in sorted(entries.items()):
             h = xxhash.xxh64_intdigest(key.encode(), seed=42)
-            h = h - (1 << 64) if h >> 63 else h
-            parts[h % self.buckets] += f"{_ENTRY}{key}{_VALUE}={value}"
-        self.text = _BUCKET.join(parts)
+            parts[(h - (1 << 64) if h >> 63 else h) % self.buckets][key] = value
+        self.text = json.dumps(parts, ensure_ascii=False, separators=(",", ":"))
         if len(self.text.encode()) > MAX_BYTES:
             raise ValueError(f"a dictionary of more than {MAX_BYTES} bytes doesn't fit in a plan; join it instead")
 
     def __call__(self, key: Column) -> Column:
-        bucket = F.element_at(F.split(F.lit(self.text), _BUCKET, -1), (F.pmod(F.xxhash64(key), F.lit(self.buckets)) + 1).cast("int"))
-        mark = F.concat(F.lit(_ENTRY), key, F.lit(_VALUE))
-        # Without the mark the whole bucket is left, which starts with an entry's mark and so ends up empty.
-        rest = F.call_function("substring_index", F.call_function("substring_index", bucket, mark, F.lit(-1)), F.lit(_ENTRY), F.lit(1))
-        return F.when(rest != "", F.substring(rest, 2, 1 << 30))
+        place = (F.pmod(F.xxhash64(key), F.lit(self.buckets)) + 1).cast("int")
+        return F.try_element_at(F.element_at(F.from_json(F.lit(self.text), _TYPE), place), key)
 
     def sql(self, key: str) -> str:
         """The same lookup as SQL text; ``key`` is an expression."""
         literal = "'" + self.text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-        bucket = f"element_at(split({literal}, '{_BUCKET}', -1), CAST(pmod(xxhash64({key}), {self.buckets}L) + 1 AS INT))"
-        rest = f"substring_index(substring_index({bucket}, concat('{_ENTRY}', {key}, '{_VALUE}'), -1), '{_ENTRY}', 1)"
-        return f"(CASE WHEN {rest} <> '' THEN substring({rest}, 2) END)"
+        return f"try_element_at(element_at(from_json({literal}, '{_TYPE}'), CAST(pmod(xxhash64({key}), {self.buckets}L) + 1 AS INT)), {key})"
 
     def has(self, key: Column) -> Column:
         return self(key).isNotNull()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..dictionary import Registry
+from ..dictionary import Dictionary, Registry
 from . import text as tx
 
 
@@ -16,19 +16,18 @@ def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fold(tokens: str, lookup_word, fallback: str, longest: int) -> str:
-    """Greedy longest words over an array of tokens; ``t`` is a token and ``i`` its place."""
-    han = quoted(f"^[^0-9A-Za-z{tx.WHITE_SPACE}]$")
-    spans = "".join(
-        f"WHEN t RLIKE {han} AND size(filter(slice({tokens}, i + 1, {n}), u -> u RLIKE {han})) = {n} AND {lookup_word(word)} IS NOT NULL THEN struct({n} AS n, {lookup_word(word)} AS s) "
-        for n in range(longest, 1, -1)
-        for word in [f"array_join(slice({tokens}, i + 1, {n}), '')"]
-    )
-    at = f"transform({tokens}, (t, i) -> CASE WHEN {lookup_word('t')} IS NOT NULL THEN struct(1 AS n, {lookup_word('t')} AS s) {spans}ELSE struct(1 AS n, {fallback} AS s) END)"
-    return (
+def _fold(tokens: str, d: Dictionary, fallback: str) -> str:
+    """Greedy longest words over an array of tokens; ``t`` is a token and ``i`` its place. As in the operator."""
+    tries = [f"concat('001', {d.word_first.sql('t')})"]
+    for n in d.span_lengths:
+        text = f"CASE WHEN size(slice(toks, i + 1, {n})) = {n} THEN array_join(slice(toks, i + 1, {n}), '') END"
+        tries.append(f"concat('{n:03d}', {d.span_first.sql(text)})")
+    at = f"transform(toks, (t, i) -> coalesce({', '.join(tries)}, concat('001', {fallback})))"
+    walk = (
         f"aggregate({at}, struct(CAST(array() AS ARRAY<STRING>) AS out, 0 AS skip), (acc, x) -> CASE WHEN acc.skip > 0 THEN struct(acc.out AS out, acc.skip - 1 AS skip) "
-        "ELSE struct(concat(acc.out, array(x.s)) AS out, x.n - 1 AS skip) END, acc -> array_join(acc.out, ' '))"
+        "ELSE struct(concat(acc.out, array(substring(x, 4))) AS out, CAST(substring(x, 1, 3) AS INT) - 1 AS skip) END, acc -> array_join(acc.out, ' '))"
     )
+    return f"get(transform(array({tokens}), toks -> {walk}), 0)"
 
 
 def register(spark: SparkSession, registry: Registry, suffix: str | None = None, prefix: str = "") -> list[str]:
@@ -42,7 +41,7 @@ def register(spark: SparkSession, registry: Registry, suffix: str | None = None,
     one = quoted("(?s)(.)")
     syllables = lambda z: quoted(tx.syllable_pattern(d.syllables, z))
     initials = ", ".join(quoted(t) for t, k in sorted(d.tokens.items()) if k == 2)
-    first, every, word_first, word_every = d.first.sql, d.readings.sql, d.word_first.sql, d.word_readings.sql
+    first, every, word_every = d.first.sql, d.readings.sql, d.word_readings.sql
     text = f"regexp_replace(array_join(transform(regexp_extract_all(input, {split}, 1), t -> CASE WHEN {ascii_word('t')} OR {every('t')} IS NOT NULL THEN t ELSE ' ' END), ''), ' +', ' ')"
     array = f"CASE WHEN {text} = '' THEN array('') ELSE regexp_extract_all({text}, {split}, 1) END"
     mapped = f"transform(filter(regexp_extract_all(input, {words}, 1), t -> {ascii_word('t')} OR {first('t')} IS NOT NULL), t -> CASE WHEN {ascii_word('t')} THEN {low('t')} ELSE t END)"
@@ -63,8 +62,8 @@ def register(spark: SparkSession, registry: Registry, suffix: str | None = None,
         "characters2romanize": ("input STRING", "STRING", f"coalesce({word_every('input')}, array_join(transform({array}, t -> coalesce({every('t')}, concat('|', t, '|'))), ' '))"),
         "icu_romanize_tokens": ("tokens ARRAY<STRING>", "STRING", f"CASE WHEN size(tokens) > 0 THEN array_join(transform(tokens, t -> coalesce({word_every('t')}, {chars(every)})), ' ') END"),
         "pinyin_char_romanize": ("input STRING", "STRING", f"array_join(filter(transform(regexp_extract_all(input, {words}, 1), t -> CASE WHEN {ascii_word('t')} THEN {low('t')} ELSE {first('t')} END), t -> t IS NOT NULL), ' ')"),
-        "pinyin_word_romanize": ("input STRING", "STRING", _fold(mapped, word_first, fallback, d.max_word_len)),
-        "pinyin_word_romanize_tokens": ("tokens ARRAY<STRING>", "STRING", _fold(listed, word_first, fallback, d.max_word_len)),
+        "pinyin_word_romanize": ("input STRING", "STRING", _fold(mapped, d, fallback)),
+        "pinyin_word_romanize_tokens": ("tokens ARRAY<STRING>", "STRING", _fold(listed, d, fallback)),
         "pinyin_tokenize": ("input STRING, include_zhchsh BOOLEAN DEFAULT false", "ARRAY<STRING>", parts),
         "pinyin_search": ("input STRING, is_full BOOLEAN DEFAULT false, anchored BOOLEAN DEFAULT false", "STRING", f"concat(CASE WHEN anchored THEN '^' ELSE '' END, CASE WHEN is_full THEN regexp_replace(input, {run}, {closed}) ELSE regexp_replace(input, {run}, {opened}) END)"),
         "pinyin_isearch": ("input STRING, anchored BOOLEAN DEFAULT false, include_zhchsh BOOLEAN DEFAULT false", "STRING", f"CASE WHEN size({parts}) > 0 THEN concat(CASE WHEN anchored THEN '^' ELSE '' END, array_join({each}, ' ')) END"),

@@ -10,15 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dictionary import Dictionary
-from ..functions.text import ascii_lower, is_ascii_word, is_han_phrase, is_han_token, split_tokens, trim_white_space, word_tokens
+from ..functions.text import ascii_lower, is_ascii_word, is_han_phrase, split_tokens, trim_white_space, word_tokens
 
 _CHARACTERS = r"(?s)(.)"
 
 
 def _mapped_tokens(c: Column, d: Dictionary) -> Column:
     """Lower-cased ASCII runs and mapped characters; all else only separates."""
-    kept = F.filter(word_tokens(c), lambda t: is_ascii_word(t) | d.first.has(t))
-    return F.transform(kept, lambda t: F.when(is_ascii_word(t), ascii_lower(t)).otherwise(t))
+    kept = F.transform(word_tokens(c), lambda t: F.when(is_ascii_word(t), ascii_lower(t)).when(d.first.has(t), t))
+    return F.filter(kept, lambda t: t.isNotNull())
 
 
 def char_romanize(c: Column, d: Dictionary) -> Column:
@@ -38,23 +38,26 @@ def _fallback(t: Column, d: Dictionary) -> Column:
 def _greedy(tokens: Column, d: Dictionary) -> Column:
     """Words over tokens: a token's own entry first, else the longest span of single characters, else its characters.
 
-    Every position's best span is found first; a fold then walks from span to span.
+    Every position's best span is found first, as three digits of its length and its reading; a fold
+    then walks from span to span. The tokens are bound once, as a lambda's variable.
     """
 
-    def at(t: Column, i: Column) -> Column:
-        tries = [F.when(d.word_first.has(t), F.struct(F.lit(1).alias("n"), d.word_first(t).alias("s")))] if d.words else []
-        for n in range(d.max_word_len, 1, -1):
-            span = F.slice(tokens, i + 1, n)
-            word = d.word_first(F.array_join(span, ""))
-            whole = (F.size(span) == n) & (F.size(F.filter(span, is_han_token)) == n)
-            tries.append(F.when(is_han_token(t) & whole & word.isNotNull(), F.struct(F.lit(n).alias("n"), word.alias("s"))))
-        return F.coalesce(*tries, F.struct(F.lit(1).alias("n"), _fallback(t, d).alias("s")))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-    walk = lambda acc, x: F.when(
-        acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))
-    ).otherwise(F.struct(F.concat(acc["out"], F.array(x["s"])).alias("out"), (x["n"] - 1).alias("skip")))
-    return F.aggregate(F.transform(tokens, at), start, walk, lambda acc: F.array_join(acc["out"], " "))
+    def walk(toks: Column) -> Column:
+        def at(t: Column, i: Column) -> Column:
+            tries = [F.concat(F.lit("001"), d.word_first(t))] if d.words else []
+            for n in d.span_lengths:
+                # A span's entry holds single characters only, so equal text means that its n tokens do.
+                span = F.slice(toks, i + 1, n)
+                tries.append(F.concat(F.lit(f"{n:03d}"), d.span_first(F.when(F.size(span) == n, F.array_join(span, "")))))
+            return F.coalesce(*tries, F.concat(F.lit("001"), _fallback(t, d)))
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
+        step = lambda acc, x: F.when(
+            acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))
+        ).otherwise(F.struct(F.concat(acc["out"], F.array(F.substring(x, 4, 1 << 30))).alias("out"), (F.substring(x, 1, 3).cast("int") - 1).alias("skip")))
+        return F.aggregate(F.transform(toks, at), start, step, lambda acc: F.array_join(acc["out"], " "))
+
+    return F.get(F.transform(F.array(tokens), walk), F.lit(0))
 
 
 def word_romanize(c: Column, d: Dictionary) -> Column:
