@@ -203,6 +203,11 @@ class Registry:
             self._merged[name] = self.version, Dictionary(self._entries("mapping", name), self._base[1].tokens, self._entries("words", name))
         return self._merged[name][1]
 
+    def refresh(self) -> None:
+        """Forgets everything cached, as after a restart: the version moves on and merges are dropped."""
+        self.version += 1
+        self._merged.clear()
+
     def clear_suffix_cache(self, suffix: str | None = ...) -> int | bool:
         """Without a suffix: forgets all merges and returns their number. With one: whether it was there."""
         if suffix is ...:

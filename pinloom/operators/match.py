@@ -80,3 +80,24 @@ def search_postings(index: DataFrame, queries: DataFrame, query: str = "query",
     hits = parts.join(wanted, "p").join(index, "term").select(query_id, id_, "n", "i", (F.col("pos") - F.col("i")).alias("start"))
     full = hits.groupBy(query_id, id_, "start", "n").agg(F.count_distinct("i").alias("k")).where("k = n")
     return full.select(query_id, id_).distinct()
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct runs of three characters, with two blanks before and one after, as trigram indexes have them."""
+    padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+
+
+def trigram_index(docs: DataFrame, text: str = "pinyin", id_: str = "id") -> DataFrame:
+    """(gram, id), to be stored bucketed by gram."""
+    return docs.select(F.explode(trigrams(F.col(text))).alias("gram"), id_)
+
+
+def search_substring(docs: DataFrame, index: DataFrame, part: str, text: str = "pinyin", id_: str = "id") -> DataFrame:
+    """Rows whose text contains ``part``: those that have all its inner trigrams, then verified. Short parts scan."""
+    grams = sorted({part.lower()[i : i + 3] for i in range(len(part) - 2)})
+    verified = F.contains(F.col(text), F.lit(part))
+    if not grams:
+        return docs.where(verified)
+    ids = index.where(F.col("gram").isin(grams)).groupBy(id_).agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(grams))
+    return docs.join(ids.select(id_), id_, "left_semi").where(verified)

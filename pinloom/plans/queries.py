@@ -272,6 +272,12 @@ def postings_search(spark, sf_dir):
     return match.search_postings(index, asked).withColumnRenamed("query_id", "query")
 
 
+@_query("substring_search", f"WITH {_NAMES}, {_ROMANIZED} SELECT id, pinyin FROM docs WHERE contains(pinyin, 'ang x')")
+def substring_search(spark, sf_dir):
+    docs = _romanized(spark, sf_dir).select("id", "pinyin")
+    return match.search_substring(docs, match.trigram_index(docs), "ang x")
+
+
 _COUNTS = f"counts AS (SELECT query, count(*) AS hits FROM docs, asked WHERE asks AND regexp_matches(pinyin, re) GROUP BY query)"
 
 

@@ -93,6 +93,11 @@ def word_rows(words: DataFrame, syllables) -> DataFrame:
     return first.select("word", F.array_join("parts", " ").alias("pinyin"), (F.size(F.array_except("parts", known)) > 0).alias("fallback"))
 
 
+def word_counts(words: DataFrame) -> tuple[int, int]:
+    """Number of words, and of those that needed the fallback."""
+    return tuple(words.agg(F.count(F.lit(1)), F.count_if("fallback")).first())
+
+
 def prepare(lines: DataFrame, words: DataFrame | None, letters: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """All three tables from their sources; an empty character source is an error."""
     chars = char_map(lines, letters)

@@ -251,6 +251,32 @@ def test_preparation(spark, tmp_path):
         prep.prepare(spark.createDataFrame([], "ord long, value string"), None)
 
 
+def test_preparation_by_command(spark, tmp_path):
+    from pinloom.sources.__main__ import main
+
+    (tmp_path / "chars.txt").write_text("U+4E2D: zhōng\nU+7EFF: lǜ\n")
+    (tmp_path / "words.csv").write_text('中绿,"zhonglv"\n中,q1\n')
+    assert main([str(tmp_path / "chars.txt"), str(tmp_path / "out"), "--words", str(tmp_path / "words.csv")]) == {"mapping": 2, "token": 26, "words": 2, "fallback": 2}
+    d = files.load_registry(spark, *(str(tmp_path / "out" / k) for k in ("mapping", "token", "words"))).dictionary()
+    assert d.mapping["绿"] == "|lu|" and d.words == {"中绿": "zhong lv", "中": "q 1"}
+
+
+def test_icu_words(spark, registry):
+    from pinloom.functions.icu import icu_romanize, icu_tokens, icu_word_romanize
+
+    assert "".join(icu_tokens(spark, "我们 ABC\U0001f600")) == "我们ABC\U0001f600" and icu_tokens(spark, None) is None
+    get = lambda c: spark.range(1).select(c.alias("r")).first()[0]
+    assert get(icu_romanize(spark, "我们", registry.dictionary())) == "|wo| |men|"
+    assert get(icu_word_romanize(spark, "我 AB", registry.dictionary())) == "wo ab"
+    assert get(icu_romanize(spark, None, registry.dictionary())) is None
+
+
+def test_refresh(registry):
+    version = registry.version
+    registry.refresh()
+    assert registry.version == version + 1 and registry.clear_suffix_cache() == 0
+
+
 def test_stream(spark, registry, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, "郑爽"), (2, None)], "id long, v string").write.parquet(str(source))
