@@ -98,7 +98,7 @@ def _proposed(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
-_NEAR = {k: re.compile(r"(?i)\b(?:" + "|".join(map(re.escape, v)) + ")") for k, v in WORDS.items()}
+_NEAR = {k: re.compile(r"(?i)\b(?:" + "|".join(map(re.escape, v)) + r")s?\b") for k, v in WORDS.items()}
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
