@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words. ``known`` is a task's own memory of them, gone with the task."""
+    if len(known) > 300_000:
+        known.clear()
+    h = np.empty(len(words), np.uint64)
+    get = known.get
+    for i, w in enumerate(words):
+        x = get(w)
+        if x is None:
+            x = known[w] = xxhash.xxh64_intdigest(w)
+        h[i] = x
+    return h
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,10 +1,11 @@
 """Quality classifier by importance resampling.
 
-Two pairs of hashed n-gram models (words and word pairs), of target text (labelled good: quality 1,
-toxic 0) and of raw text (all documents), give log ratios by bucket. One pair counts every
-occurrence, the other counts an n-gram once a document, so that neither repetition nor rare
-spoiling words hide. A document's log weight is the ratio of its least target-like run of words,
-under either pair, on a scale on which CLEAN_LOSS of held-out good documents lie below -1.
+Two pairs of hashed n-gram models, of target text (labelled good: quality 1, toxic 0) and of raw text
+(all documents), give log ratios by bucket. One pair counts every occurrence of words and word pairs,
+over longer runs, which shows repetition and markup; the other counts a word once a document, over
+short runs, which shows rare spoiling words. A document's log weight is the ratio of its least
+target-like run, under either pair, on a scale on which CLEAN_LOSS of held-out good documents lie
+below -1.
 
 Documents are drawn without replacement by Gumbel top-k: k is the number of documents whose weight
 is -1 or more, and the k largest of SHARPNESS times weight plus Gumbel noise stay. The noise
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, small_batches, table, word_hashes
 
 #: Buckets for words, and as many for word pairs.
 BUCKETS = 1 << 19
@@ -34,29 +35,19 @@ MAX_LABELS = 100_000
 #: Added to both models' counts on the target's scale.
 SMOOTHING = {"tokens": 2.0, "types": 1.0}
 #: Words in a run.
-RUN = {"tokens": 16, "types": 8}
+RUN = {"tokens": 16, "types": 2}
 #: Share of held-out good documents below -1 under each pair.
-CLEAN_LOSS = 0.015
+CLEAN_LOSS = 0.01
 SHARPNESS = 50.0
 SEED = 42
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_hashes: dict[bytes, int] = {}
 
 
-def features(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, buckets: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words, and of the pairs each word closes (offset by ``buckets``)."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
-    get = _hashes.get
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = get(w)
-        if x is None:
-            x = _hashes[w] = xxhash.xxh64_intdigest(w)
-        h[i] = x
+    h = word_hashes(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()), known)
     pairs = (h[:-1] * _A) ^ (h[1:] * _B)
     pairs ^= pairs >> np.uint64(31)
     mask = np.uint64(buckets - 1)
@@ -69,28 +60,25 @@ class Weigher:
     def __init__(self, ratios: dict[str, np.ndarray], scale: dict[str, float], buckets: int):
         self.ratios, self.scale, self.buckets = ratios, scale, buckets
 
-    def parts(self, text: str | None) -> tuple[float, float]:
-        """Smallest ratio of a run of words by tokens, and by types, each n-gram counting where it comes first."""
-        words, pairs = features(text, self.buckets)
+    def parts(self, text: str | None, known: dict[bytes, int]) -> tuple[float, float]:
+        """Smallest ratio of a run of words by tokens, and by types, where a word counts where it comes first."""
+        words, pairs = features(text, self.buckets, known)
         if not len(words):
             return 0.0, 0.0
+        tokens = self.ratios["tokens"][words]
+        tokens[1:] += self.ratios["tokens"][pairs]
+        again = np.ones(len(words), bool)
+        again[np.unique(words, return_index=True)[1]] = False
+        types = np.where(again, np.float32(0), self.ratios["types"][words])
         out = []
-        for kind in ("tokens", "types"):
-            r = self.ratios[kind]
-            x, y = r[words], r[pairs]
-            if kind == "types":
-                for a, f in ((x, words), (y, pairs)):
-                    again = np.ones(len(f), bool)
-                    again[np.unique(f, return_index=True)[1]] = False
-                    a[again] = 0
-            x[1:] += y
+        for kind, x in (("tokens", tokens), ("types", types)):
             c = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
             n = min(RUN[kind], len(x))
             out.append(float((c[n:] - c[:-n]).min()))
         return out[0], out[1]
 
-    def weight(self, text: str | None) -> float:
-        a, b = self.parts(text)
+    def weight(self, text: str | None, known: dict[bytes, int]) -> float:
+        a, b = self.parts(text, known)
         return min(a / self.scale["tokens"], b / self.scale["types"])
 
 
@@ -123,11 +111,11 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labels:
     chosen = spark.sparkContext.broadcast((fitted, held))
 
     def count(batches):
-        total = np.zeros((4, 2 * buckets))
+        total, known = np.zeros((4, 2 * buckets)), {}
         for batch in batches:
             good = _member(chosen.value[0], batch.column("doc_id"))
             for text, t in zip(batch.column("text"), good):
-                f = np.concatenate(features(text.as_py(), buckets))
+                f = np.concatenate(features(text.as_py(), buckets, known))
                 once, n = np.unique(f, return_counts=True)
                 total[0, once] += n
                 total[1, once] += 1
@@ -155,9 +143,10 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labels:
     shared = spark.sparkContext.broadcast(weigher)
 
     def held_out(batches):
+        known = {}
         for batch in batches:
             some = batch.filter(pa.array(_member(chosen.value[1], batch.column("doc_id"))))
-            found = [shared.value.parts(t.as_py()) for t in some.column("text")]
+            found = [shared.value.parts(t.as_py(), known) for t in some.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["tokens", "types"])
 
     scores = docs.select("doc_id", "text").mapInArrow(held_out, "tokens double, types double").agg(
@@ -172,17 +161,18 @@ def importance(docs: DataFrame, weigher: Weigher, seed: int = SEED) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(weigher)
 
     def run(batches):
+        known = {}
         for batch in batches:
-            w, k = _keys(shared.value, batch, seed)
+            w, k = _keys(shared.value, batch, seed, known)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w), pa.array(k)], ["doc_id", "log_weight", "gumbel_key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double")
 
 
-def _keys(weigher: Weigher, batch, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _keys(weigher: Weigher, batch, seed: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     texts = batch.column("text").to_pylist()
-    w = np.array([weigher.weight(t) for t in texts], np.float64)
+    w = np.array([weigher.weight(t, known) for t in texts], np.float64)
     g = np.array([noise(i, t, seed) for i, t in zip(batch.column("doc_id").to_pylist(), texts)], np.float64)
     return w, SHARPNESS * w + g
 
@@ -238,8 +228,9 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: in
     shared = docs.sparkSession.sparkContext.broadcast(weigher)
 
     def run(batches):
+        known = {}
         for batch in batches:
-            yield batch.filter(pa.array(_keys(shared.value, batch, seed)[1] >= limit))
+            yield batch.filter(pa.array(_keys(shared.value, batch, seed, known)[1] >= limit))
 
     return docs.mapInArrow(run, docs.schema)
 
