@@ -25,7 +25,9 @@ from .common import Scratch, small_batches, table
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Words a worker remembers; the table starts anew when full (about 150 bytes a word).
-REMEMBERED = 800_000
+REMEMBERED = 600_000
+#: Characters encoded in one go: the more, the fewer lookups of frequent words.
+TOGETHER = 6 << 20
 ROWS_PER_FILE = 200_000
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 2000
@@ -72,7 +74,7 @@ class Encoder:
         odd = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if "<|" in t and self.special.search(t)}
         plain = pc.ascii_lower(pa.array(["" if i in odd else t for i, t in enumerate(texts)], pa.large_string()))
         # A stop or comma after a letter is a token of its own, so words are the same with and without it.
-        plain = pc.replace_substring_regex(plain, r"([a-z])([.,])([ \n])", r"\1 \2\3")
+        plain = pc.replace_substring_regex(plain, r"([a-z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,])([ \n])", r"\1 \2\3")
         split = pc.ascii_split_whitespace(plain)
         coded = split.flatten().dictionary_encode()
         if len(self.known) > self.remembered:
@@ -104,15 +106,31 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_batches(batches, path: str, end_id: int | None, rows: int = 512):
-    """(batch, ids of its texts) in slices of few rows; null counts as empty."""
+def encode_batches(batches, path: str, end_id: int | None, size: int = TOGETHER):
+    """(slice of a batch, ids of its texts); null counts as empty. About ``size`` characters are encoded together."""
     enc = encoder(path)
     end = np.array([] if end_id is None else [end_id], "<u4")
+    held, texts, n = [], [], 0
+
+    def done():
+        ids = enc.encode(texts)
+        at = 0
+        for part in held:
+            yield part, [np.concatenate([x, end]) for x in ids[at : at + part.num_rows]]
+            at += part.num_rows
+
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            part = batch.slice(a, rows)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            yield part, [np.concatenate([x, end]) for x in enc.encode(texts)]
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            more = [t or "" for t in part.column("text").to_pylist()]
+            held.append(part)
+            texts += more
+            n += sum(map(len, more))
+            if n >= size:
+                yield from done()
+                held, texts, n = [], [], 0
+    if held:
+        yield from done()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_ID, rows_per_file: int = ROWS_PER_FILE) -> None:
