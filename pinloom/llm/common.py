@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, a laptop).
 FALLBACK_DIR = "/tmp/checkpoints"
-#: Rows a side may have to be broadcast: each row counted here is at most some tens of bytes.
-BROADCAST_ROWS = 1_000_000
+#: Rows a side may have to be broadcast: each row counted here is at most about 120 bytes, so 60 MB.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
