@@ -1 +1 @@
-""" """
+"""Column functions: lookups, tokens, patterns, SQL names."""

@@ -1 +1 @@
-""" """
+"""Workloads and registered queries."""

@@ -1 +1 @@
-""" """
+"""Dictionary files and their preparation."""

@@ -1 +1 @@
-""" """
+"""Romanization of streams."""
