@@ -7,14 +7,17 @@ A document's set is its distinct word n-grams, as 64-bit hashes. Two documents l
    ``need`` tokens within prefixes of fixed length. So a set of which fewer prefix tokens occur in any
    other class links with nothing. Only prefixes are shuffled. Tokens that a Misra-Gries family
    sketch finds frequent are settled map-side: they count as shared.
-2. Groups. Sets that share a min-hash form a group; each is compared with the group's most typical
-   set alone (no pairs within groups). Verified links give components: groups of similar sets.
-3. Token-group matrix. Each component's token union is stored as (token, component). For a set, the
-   overlap with a component's union bounds that with each member, so a component is opened only if
-   it holds percent of the set's tokens. Candidates come from the set's tokens that fewest
-   components hold. Opened components are read in blocks of bounded size against blocks of queries.
-
-Within a component no further link is needed, as it is connected already; every pair across
+2. Groups. Sets that share a min-hash are compared with the most typical set among them alone (no
+   pairs within groups). Verified links give components. Each set's group is that of the most
+   typical set with which it shares at least half of the min-hashes, linked or not, else of that with
+   which it shares most, so near copies fill few groups.
+3. Token-group matrix. Each group's token union is stored as (token, group). For a set, the overlap
+   with a group's union bounds that with each member, so another group is opened only if it holds
+   percent of the set's tokens; candidates come from the set's tokens that fewest groups hold. Opened
+   groups are read in blocks of bounded size against blocks of queries.
+
+Only pairs across components are of use, and each is searched from the smaller component, so the
+bulk of a large group of near copies, being connected already, asks nothing. Every pair across
 components that could link is compared, so none is lost.
 """
 
@@ -24,24 +27,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, connected_components, small_batches, table
+from .common import Scratch, broadcast_if_small, connected_components, small_batches, table, word_hashes
 
 N_WORDS = 5
 PERCENT = 75
 #: Longer prefixes ask for more shared tokens: this share of the set's size is added.
 EXTRA_PERCENT = 15
 PERMUTATIONS = 8
-MAX_HOT, COUNTERS = 5000, 50_000
+MAX_HOT, COUNTERS, LEAST_HOT = 5000, 50_000, 1000
 #: Sets of a component, and queries, that are read together.
 BLOCK = 2000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64)
-_words: dict[bytes, int] = {}
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,7 +52,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
+def shingle_set(text: str | None, n: int, known: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams of words between ASCII blanks, A-Z lower-cased.
 
     With fewer words the whole sequence is one n-gram; without words the set is empty.
@@ -59,15 +60,7 @@ def shingle_set(text: str | None, n: int = N_WORDS) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, np.int64)
-    if len(_words) > 1_000_000:
-        _words.clear()
-    get = _words.get
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = get(w)
-        if x is None:
-            x = _words[w] = xxhash.xxh64_intdigest(w)
-        h[i] = x
+    h = word_hashes(words, known)
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -102,8 +95,9 @@ def _sets(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, n (set size), need, cls (128-bit digest of the set), prefix (its smallest tokens)."""
 
     def run(batches):
+        known = {}
         for batch in batches:
-            sets = [shingle_set(t.as_py(), n_words) for t in batch.column("text")]
+            sets = [shingle_set(t.as_py(), n_words, known) for t in batch.column("text")]
             n = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -124,8 +118,9 @@ def _full_sets(docs: DataFrame, n_words: int) -> DataFrame:
     """cls, tokens (sorted), keys (a min-hash for each permutation)."""
 
     def run(batches):
+        known = {}
         for batch in batches:
-            sets = [s for t in batch.column("text") if len(s := shingle_set(t.as_py(), n_words))]
+            sets = [s for t in batch.column("text") if len(s := shingle_set(t.as_py(), n_words, known))]
             keys = [np.array([_mix(s.view(np.uint64) ^ seed).min() for seed in _SEEDS], np.uint64).view(np.int64) for s in sets]
             cls = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string())
             yield pa.RecordBatch.from_arrays([cls, _lists(sets), _lists(keys)], ["cls", "tokens", "keys"])
@@ -133,18 +128,40 @@ def _full_sets(docs: DataFrame, n_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cls string, tokens array<long>, keys array<long>")
 
 
+def _settled(rows: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """row, c, prefix without hot tokens, and their number k and summed counts: those need no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column("prefix")
+            cuts, flat = np.asarray(cells.offsets), np.asarray(cells.values)
+            at = np.searchsorted(hot, flat)
+            is_hot = (at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == flat) if len(hot) else np.zeros(len(flat), bool)
+            weight = np.where(is_hot, counts[np.minimum(at, len(hot) - 1)], 0) if len(hot) else np.zeros(len(flat), np.int64)
+            before = np.concatenate([[0], np.cumsum(is_hot)])
+            sums = np.concatenate([[0], np.cumsum(weight)])
+            left = cuts - before[cuts]
+            cold = pa.ListArray.from_arrays(pa.array((left - left[0]).astype("i4")), pa.array(flat[cuts[0] : cuts[-1]][~is_hot[cuts[0] : cuts[-1]]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("c"), cold, pa.array((before[cuts[1:]] - before[cuts[:-1]]).astype("i8")), pa.array((sums[cuts[1:]] - sums[cuts[:-1]]).astype("i8"))],
+                ["row", "c", "prefix", "k", "weight"],
+            )
+
+    return rows.mapInArrow(run, "row long, c long, prefix array<long>, k long, weight long")
+
+
 def _candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Classes that the singleton bound leaves: cls, node (a number for the class), rep (a doc_id of it), n, typical."""
     sketch = f"approx_top_k(token, {MAX_HOT}, {COUNTERS})"
     rows = sets.where("n > 0")
-    least_hot = max(1000, rows.count() // 500)
-    hot = rows.select(F.explode("prefix").alias("token")).agg(F.expr(sketch).alias("top")).select(F.explode("top").alias("t"))
-    hot = scratch.save(hot.select(F.col("t.item").alias("token"), F.col("t.count").cast("long").alias("hot")).where(F.col("hot") >= least_hot), "hot-tokens")
-    tokens = rows.select("row", F.xxhash64("cls").alias("c"), F.explode("prefix").alias("token")).join(F.broadcast(hot), "token", "left")
+    least_hot = max(LEAST_HOT, rows.count() // 500)
+    top = rows.select(F.explode("prefix").alias("token")).agg(F.expr(sketch).alias("top")).select(F.explode("top").alias("t"))
+    frequent = top.select("t.item", F.col("t.count").cast("long").alias("n")).where(F.col("n") >= least_hot).orderBy("item").collect()
+    settled = _settled(rows.select("row", F.xxhash64("cls").alias("c"), "prefix"), np.array([r[0] for r in frequent], np.int64), np.array([r[1] for r in frequent], np.int64))
     w = Window.partitionBy("token")
-    cold = tokens.where("hot is null").select("row", F.min("c").over(w).alias("a"), F.max("c").over(w).alias("b"), F.count("c").over(w).alias("hot"))
-    shared = tokens.where("hot is not null").select("row", "hot").unionByName(cold.where("a <> b").select("row", "hot"))
-    found = shared.groupBy("row").agg(F.count("hot").alias("k"), F.sum("hot").alias("weight"))
+    cold = settled.select("row", "c", F.explode("prefix").alias("token")).select("row", F.min("c").over(w).alias("a"), F.max("c").over(w).alias("b"), F.count("c").over(w).alias("weight"))
+    shared = cold.where("a <> b").select("row", F.lit(1).cast("long").alias("k"), "weight")
+    found = shared.unionByName(settled.where("k > 0").select("row", "k", "weight")).groupBy("row").agg(F.sum("k").alias("k"), F.sum("weight").alias("weight"))
     return scratch.save(
         rows.select("row", "doc_id", "cls", "n", "need").join(found, "row").where("k >= need")
         .groupBy("cls").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max(F.col("weight") / F.col("n")).alias("typical")),
@@ -157,80 +174,103 @@ def _linked(a: str, b: str, percent: int) -> Column:
     return inter * 100 >= (F.size(a) + F.size(b) - inter) * percent
 
 
-def _star_links(full: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) of sets with the most typical set of a group with the same min-hash."""
+def _led(full: DataFrame, percent: int) -> DataFrame:
+    """(node, leader, n, m, typical, shared): the most typical sets of those with a set's min-hashes, and in how many."""
     keyed = full.select("node", "n", "typical", F.posexplode("keys").alias("r", "key"))
     leader = keyed.groupBy("r", "key").agg(F.max(F.struct("typical", "node", "n")).alias("top"), F.count("node").alias("size")).where("size > 1")
-    pairs = (
-        keyed.join(leader, ["r", "key"]).select(F.col("node").alias("a"), F.col("top.node").alias("b"), "n", F.col("top.n").alias("m"))
-        .where((F.col("a") != F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select("a", "b").distinct()
-    )
+    led = keyed.join(leader, ["r", "key"]).select("node", "n", F.col("top.node").alias("leader"), F.col("top.n").alias("m"), F.col("top.typical").alias("typical"))
+    return led.groupBy("node", "leader", "n", "m", "typical").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _star_links(full: DataFrame, led: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) of sets with leaders."""
+    pairs = led.where((F.col("node") != F.col("leader")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)).select(F.col("node").alias("a"), F.col("leader").alias("b"))
     one = full.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     two = full.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(one, "a").join(two, "b").where(_linked("x", "y", percent)).select("a", "b")
 
 
-def _cross_links(full: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
-    """Links (a, b) between sets of different components, found through the token-group matrix.
+def _across_groups(full: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """(node, group) of other groups that the bound leaves for a set.
 
-    ``full`` has node, n, comp, comp_size, tokens. At least one link is returned for each set and
-    block of a component with which it links, as more would join nothing new.
+    Only sets of which percent of the tokens occur in other groups can link across groups, on either
+    side, so groups stand here for those of their members alone.
     """
-    tokens = full.select("node", "comp", F.explode("tokens").alias("token"))
-    wide = tokens.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    tokens = full.select("node", "group", "rank.comp", F.explode("tokens").alias("token"))
+    ends = [f(c).alias(f"{n}_{c}") for c in ("group", "comp") for f, n in ((F.min, "a"), (F.max, "b"))]
+    wide = tokens.groupBy("token").agg(*ends).where("a_group <> b_group and a_comp <> b_comp").select("token")
     wide = scratch.save(wide, "wide-tokens")
-    shared = scratch.save(tokens.join(broadcast_if_small(wide, wide.count()), "token", "left_semi"), "shared-tokens")
+    shared = scratch.save(tokens.drop("comp").join(broadcast_if_small(wide, wide.count()), "token", "left_semi"), "shared-tokens")
     able = (
-        shared.groupBy("node").agg(F.count("token").alias("k")).join(full.select("node", "n", "comp", "comp_size"), "node")
+        shared.groupBy("node").agg(F.count("token").alias("k")).join(full.select("node", "n", "rank", F.col("group").alias("own")), "node")
         .withColumn("least", least_column(F.col("n"), percent)).where("k >= least")
     )
     able = scratch.save(able, "able")
-    if able.limit(1).count() == 0:
+    n_able = able.count()
+    if not n_able:
         return None
-    shared = scratch.save(shared.join(able.select("node", "k", "least", "comp_size"), "node"), "able-tokens")
-    matrix = scratch.save(shared.select("token", F.col("comp").alias("group"), F.col("comp_size").alias("group_size")).distinct(), "matrix")
-    spread = matrix.groupBy("token").agg(F.count("group").alias("groups"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("groups", "token"))
-    first = shared.join(spread, "token").withColumn("rank", rank).where("rank <= k - least + 1 and groups > 1")
-    # Each pair of components is searched from the smaller one.
-    toward = (F.col("group_size") > F.col("comp_size")) | ((F.col("group_size") == F.col("comp_size")) & (F.col("group") > F.col("comp")))
-    pairs = first.join(matrix, "token").where(toward).select("node", "group", "group_size", "least").distinct()
+    shared = scratch.save(shared.join(broadcast_if_small(able.drop("own"), n_able), "node"), "able-tokens")
+    tops = able.groupBy(F.col("own").alias("group")).agg(F.max("rank").alias("top"), F.min("least").alias("lo"), F.max("n").alias("hi"))
+    matrix = scratch.save(shared.select("token", "group").distinct().join(tops, "group"), "matrix")
+    spread = matrix.groupBy("token").agg(F.count("group").alias("groups"), F.max("top").alias("highest"))
+    # A set asks only groups with members of components larger than its own.
+    place = F.row_number().over(Window.partitionBy("node").orderBy("groups", "token"))
+    first = shared.join(spread, "token").withColumn("place", place).where("place <= k - least + 1 and groups > 1 and highest > rank")
+    # Members of linkable sizes: each set's size is at least what the other needs.
+    other = matrix.select("token", F.col("group").alias("asked"), "top", "lo", "hi")
+    pairs = first.join(other, "token").where("asked <> group and top > rank and lo <= n and hi >= least").select("node", "asked", "least").distinct()
     overlap = (
-        pairs.join(shared.select("node", "token"), "node").join(matrix.select("token", "group"), ["token", "group"])
-        .groupBy("node", "group", "group_size", "least").agg(F.count("token").alias("bound")).where("bound >= least")
+        pairs.join(shared.select("node", "token"), "node").join(other.select("token", "asked"), ["token", "asked"])
+        .groupBy("node", "asked", "least").agg(F.count("token").alias("bound")).where("bound >= least")
     )
-    opened = scratch.save(overlap.select("node", "group", "group_size"), "opened")
+    return overlap.select("node", F.col("asked").alias("group"))
+
+
+def _cross_links(full: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """Links (a, b) between sets of different components, from opened groups.
+
+    ``full`` has node, n, rank (of its component: size, then number), group, tokens. At least one link
+    is returned for each set, block of a group and component in it, as more would join nothing new.
+    """
+    tops = full.groupBy("group").agg(F.max("rank").alias("top"), F.count("node").alias("members"))
+    tops = scratch.save(tops, "group-tops")
+    own = full.join(tops, "group").where("rank < top").select("node", "group")
+    across = _across_groups(full, scratch, percent)
+    opened = scratch.save(own if across is None else own.unionByName(across), "opened")
     if opened.limit(1).count() == 0:
         return None
-    queries = opened.groupBy("group").agg(F.count("node").alias("queries"), F.first("group_size").alias("group_size"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    queries = queries.select("group", blocks("queries").alias("q"), blocks("group_size").alias("m"))
+    queries = opened.groupBy("group").agg(F.count("node").alias("queries")).join(tops, "group")
+    queries = scratch.save(queries.select("group", blocks("queries").alias("q"), blocks("members").alias("m")), "asked")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     block_of = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
-    sets = full.join(able.select("node"), "node", "left_semi").select("node", "comp", "tokens")
-    left = opened.join(queries, "group").select("node", "group", block_of("q").alias("qb"), every("m").alias("mb")).join(sets.select("node", "tokens"), "node")
+    rank = [F.col("rank.size").alias("size"), F.col("rank.comp").alias("comp")]
+    sets = full.select("node", "tokens", *rank)
+    left = opened.join(queries, "group").select("node", "group", block_of("q").alias("qb"), every("m").alias("mb")).join(sets, "node")
     left = left.select(*(F.col(c).alias(f"{c}_q") for c in left.columns))
-    right = sets.withColumnRenamed("comp", "group").join(queries, "group").select("node", "tokens", "group", block_of("m").alias("mb"), every("q").alias("qb"))
+    right = full.select("node", "tokens", "group", *rank).join(queries, "group").withColumn("mb", block_of("m")).select("node", "tokens", "size", "comp", "group", "mb", every("q").alias("qb"))
 
     def run(key, queries, members):
-        at = members.column("node").to_numpy()
-        mine = [x.as_py() for x in members.column("tokens")]
-        sizes = np.array([len(x) for x in mine], np.int64)
-        flat = np.concatenate([np.array(x, np.int64) for x in mine]) if mine else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(mine)), sizes)
+        at, size, comp = (members.column(c).to_numpy() for c in ("node", "size", "comp"))
+        sets = members.column("tokens").combine_chunks()
+        sizes = np.diff(np.asarray(sets.offsets)).astype(np.int64)
+        flat = np.asarray(sets.flatten())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         a, b = [], []
-        for node, x in zip(queries.column("node_q").to_pylist(), queries.column("tokens_q")):
-            x = np.array(x.as_py(), np.int64)
+        asked = (queries.column(f"{c}_q") for c in ("node", "size", "comp", "tokens"))
+        for node, my_size, my_comp, x in zip(*(c if i == 3 else c.to_pylist() for i, c in enumerate(asked))):
+            x = np.asarray(x.values)
             lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
             n = hi - lo
             hits = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            inter = np.bincount(hits, minlength=len(mine))
-            found = np.flatnonzero(100 * inter >= percent * (len(x) + sizes - inter))
-            if len(found):
+            inter = np.bincount(hits, minlength=len(sizes))
+            larger = (size > my_size) | ((size == my_size) & (comp > my_comp))
+            found = np.flatnonzero((100 * inter >= percent * (len(x) + sizes - inter)) & larger)
+            for i in found[np.unique(comp[found], return_index=True)[1]]:
                 a.append(node)
-                b.append(int(at[found[0]]))
+                b.append(int(at[i]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     keys = ["group", "mb", "qb"]
@@ -252,11 +292,19 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, n_words: int = N_WORDS
     full = scratch.save(
         _full_sets(chosen, n_words).join(classes.select("cls", "node", "n", "typical"), "cls").dropDuplicates(["cls"]).drop("cls"), "full-sets"
     )
-    links = scratch.save(_star_links(full, percent), "star-links")
+    led = scratch.save(_led(full, percent), "led")
+    links = scratch.save(_star_links(full, led, percent), "star-links")
     roots = connected_components(scratch, links, "groups")
-    grouped = full.select("node", "n", "tokens").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    sizes = full.select("node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("comp")).agg(F.count("node").alias("comp_size"))
-    more = _cross_links(scratch.save(grouped.join(sizes, "comp"), "grouped"), scratch, percent)
+    near = F.least("shared", F.lit(PERMUTATIONS // 2))
+    group = led.groupBy("node").agg(F.max(F.struct(near, "typical", "leader")).alias("most")).select("node", F.col("most.leader").alias("leader"))
+    # Leaders are grouped as well: their sets follow them.
+    up = group.select(F.col("node").alias("leader"), F.col("leader").alias("up"))
+    group = group.join(up, "leader", "left").select("node", F.coalesce("up", "leader").alias("group"))
+    placed = full.select("node", "n", "tokens").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    placed = placed.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    sizes = full.select("node").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("comp")).agg(F.count("node").alias("size"))
+    placed = placed.join(sizes, "comp").select("node", "n", "tokens", "group", F.struct("size", "comp").alias("rank"))
+    more = _cross_links(scratch.save(placed, "grouped"), scratch, percent)
     if more is not None:
         more = scratch.save(more, "cross-links")
         if more.limit(1).count():

@@ -80,10 +80,23 @@ def test_against_brute_force(spark, seed):
 def test_small_blocks_and_one_permutation(spark, monkeypatch):
     """With little help from groups, the token-group matrix finds what they miss."""
     monkeypatch.setattr(jaccard, "BLOCK", 3)
-    monkeypatch.setattr(jaccard, "_star_links", lambda full, percent: full.select(jaccard.F.col("node").alias("a"), jaccard.F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard, "_star_links", lambda full, led, percent: full.select(jaccard.F.col("node").alias("a"), jaccard.F.col("node").alias("b")).limit(0))
     check(spark, corpus(4, chain=True))
 
 
+def test_singleton_groups(spark, monkeypatch):
+    """Without groups and star links, every link comes from the bound across groups."""
+    empty = lambda full, percent: full.select("node", jaccard.F.col("node").alias("leader"), "n", jaccard.F.col("n").alias("m"), "typical", jaccard.F.lit(1).cast("long").alias("shared"))
+    monkeypatch.setattr(jaccard, "_led", empty)
+    check(spark, corpus(5, chain=True))
+
+
+def test_hot_tokens(spark, monkeypatch):
+    """Tokens of three documents count as hot; the result stays the same."""
+    monkeypatch.setattr(jaccard, "LEAST_HOT", 3)
+    check(spark, corpus(6, chain=True))
+
+
 def test_odd_texts(spark):
     df = docs_frame(spark)
     rows = [(r.doc_id, r.text) for r in df.collect()]
