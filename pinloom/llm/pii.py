@@ -41,7 +41,19 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# Looked ahead, so that a start within another's characters is proposed too.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9]))")
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -60,6 +72,28 @@ def mod97(iban: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def _iban_end(proposed: str) -> int:
+    """End of the IBAN that ``proposed`` starts with, 0 if none.
+
+    Words that follow can look like its groups. A word end at the country's length comes first, then the
+    whole; for countries of unknown length every word end counts, the longest first.
+    """
+    ends = [i for i in range(len(proposed), 0, -1) if proposed[i : i + 1] in ("", " ")]
+    known = IBAN_LENGTH.get(proposed[:2])
+    if known:
+        ends = [i for i in ends if i - proposed.count(" ", 0, i) == known] + ends[:1]
+    return next((i for i in ends if mod97(proposed[:i])), 0)
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    out, end = [], 0
+    for m in _IBAN.finditer(text):
+        if m.start() >= end and (n := _iban_end(m[1])):
+            end = m.start() + n
+            out.append((m.start(), end))
+    return out
+
+
 def _emails(text: str) -> list[tuple[int, int]]:
     """Found from each @ outward: the run of local characters before it, not before the last match's end."""
     out, end, at = [], 0, text.find("@")
@@ -92,7 +126,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def _proposed(text: str) -> dict[str, list[tuple[int, int]]]:
     return {
-        "iban": [m.span() for m in _IBAN.finditer(text) if mod97(m[0])],
+        "iban": _ibans(text),
         "ssn": [m.span() for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"],
         "phone_local": [m.span() for m in _PHONE_LOCAL.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 12],
     }

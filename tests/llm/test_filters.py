@@ -106,6 +106,24 @@ def test_pii_of_the_method():
     assert kinds("call (030) 123 456 78") == [("phone_local", "(030) 123 456 78")] and kinds("sum 030 123 456 78") == []
 
 
+def test_iban_before_other_words():
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO9386011117947"
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == "iban"]
+    for iban in (de, de.replace(" ", ""), gb, no):
+        for after in ("", " BIC COBADEFF", " EUR 500", " 500", " A B C D E F G H I J", " OK then", ", EUR", f" {'X' * 40}"):
+            assert found(iban + after) == [iban]
+            assert found(f"REF AB12 {iban}{after}") == [iban]
+    assert found(f"{de} {gb} {no}") == [de, gb, no]
+    # a start whose own checksum fails hides none that begin within its characters
+    assert found(f"DE88 3704 0044 0532 0130 00 {gb}") == [gb]
+    # a country of unknown length: any word end
+    unknown = next(t for i in range(100) if pii.mod97(t := f"ZZ{i:02} 1234 5678 9012 34"))
+    assert found(unknown) == [unknown] and found(f"{unknown} EUR")[0].startswith(unknown)
+    assert found("DE89370400440532013000EUR") == [] and found("XDE89370400440532013000") == []
+    for part in ("AB12 ", "DE89 ", "DE89370400440532013000 ", "AB12"):
+        pii.spans_of(part * 12_000)
+
+
 def test_pii_long_texts_are_quick():
     for part in ("a", "1", "1.", "+1", "a@", "1 ", "@a.", "(1"):
         pii.spans_of(part * 60_000)
