@@ -2,9 +2,11 @@
 
 Rules decide the urls they fit. For the rest, personalised PageRank starts at hosts under allow
 rules and follows links, while distrust starts at hosts under block rules and follows links
-backwards (who links to bad hosts is suspect). A host is blocked when its distrust reaches a
-threshold and exceeds its trust. Only DataFrame operations run here; ranks, hosts and edges stay
-distributed, and every few rounds are written to the shared folder.
+backwards (who links to bad hosts is suspect). A rank is divided among all who link to a host, so how
+far distrust carries is measured beside it undivided: one link to a blocked host carries the same
+however many others link there. A host is blocked when either reaches a threshold and its distrust
+exceeds its trust. Only DataFrame operations run here; ranks, hosts and edges stay distributed, and
+every few rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ RULES = (
 )
 DAMPING = 0.85
 ROUNDS = 8
-#: Distrust from which a host can be blocked. Seeds are shares of a host's pages, from 0 to 1, so
-#: the threshold doesn't depend on the number of hosts.
+#: Distrust, divided or as one link carries it, from which a host can be blocked. Seeds are shares of
+#: a host's pages, from 0 to 1, so the threshold depends neither on the number of hosts nor on degrees.
 THRESHOLD = 0.01
 #: Links that name a host: the value of href or src up to a quote, blank or bracket. Relative links
 #: stay on their host and carry nothing between hosts.
@@ -79,6 +81,27 @@ def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, name: str, d
     return ranks
 
 
+def carried(scratch: Scratch, scores: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, carried) of the hosts in ``scores`` (host, trust, distrust) with more distrust than trust.
+
+    That is the host's distrust or, where larger, what a link carries of a blocked host it names:
+    damping times that host's own, undivided. Trusted hosts carry nothing.
+    """
+    doubted = scores.where(F.col("distrust") > F.col("trust")).select("host", F.col("distrust").alias("carried"))
+    side = lambda c: doubted.select(F.col("host").alias(c))
+    links = scratch.save(edges.join(side("src"), "src", "left_semi").join(side("dst"), "dst", "left_semi").select("src", "dst"), "doubted-edges")
+    if links.isEmpty():
+        return doubted
+    found = doubted
+    for i in range(1, rounds + 1):
+        moved = links.join(found.where(F.col("carried") >= threshold), F.col("dst") == F.col("host")).select(F.col("src").alias("host"), (F.col("carried") * damping).alias("carried"))
+        found = moved.unionByName(doubted).groupBy("host").agg(F.max("carried").alias("carried"))
+        if i % 2 == 0 or i == rounds:
+            found = scratch.save(found, f"carried-{i}")
+            scratch.drop(f"carried-{i - 2}")
+    return found
+
+
 def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -111,7 +134,8 @@ def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, damping: float =
         .na.fill(0.0, ["trust", "distrust"]),
         "scores",
     )
-    blocked = (F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))
+    scores = scores.join(carried(scratch, scores, edges, damping, rounds, threshold), "host", "left")
+    blocked = F.col("carried") >= threshold
     return urls.join(scores, "host", "left").select(
         "page_id",
         "host",
@@ -129,7 +153,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same judgement with the rounds written out one by one."""
+    """The judgement by ranks alone, with the rounds written out one by one: it lacks what links carry undivided."""
     rules = sorted(RULES, key=lambda r: -len(r[1]) - len(r[2]))
     fits = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in rules]
     case = lambda i: "CASE " + " ".join(f"WHEN {f} THEN '{(r[1] + r[2]) if i else r[0]}'" for f, r in zip(fits, rules)) + " END"

@@ -228,6 +228,24 @@ def test_link_graph(spark):
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0))
 
 
+@pytest.mark.parametrize("n", [1, 12, 13, 300])
+def test_link_graph_popular_blocked_host(spark, n):
+    """However many link to a blocked host, each is blocked, and who links to them; trusted hosts aren't and carry nothing."""
+    link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
+    pages = [(0, "http://bad.com/de/a", "", "block")]
+    pages += [(i, f"http://spam{i}.net/a", link("bad.com"), "block") for i in range(1, n + 1)]
+    pages += [
+        (1001, "http://farm.net/a", link("bad.com", *(f"other{i}.net" for i in range(40))), "block"), (1002, "http://hub.net/a", link("spam1.net"), "block"),
+        (1003, "http://top.net/a", link("hub.net"), "block"), (1004, "http://good.org/a", link("fine.net"), "allow"), (1005, "http://other1.net/a", "", "allow"),
+        (1006, "http://good.org/b", link("bad.com"), "allow"),
+    ]
+    if n >= 12:
+        pages += [(1007, "http://fine.net/a", link("bad.com"), "allow"), (1008, "http://far.net/a", link("fine.net"), "allow")]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge_urls(df, Scratch(spark, "test")).collect()}
+    assert got == {p[0]: p[3] for p in pages}
+
+
 # --- quality
 
 
