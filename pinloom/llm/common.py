@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +48,40 @@ def ship_package(spark: SparkSession) -> None:
     if app not in _shipped:
         _shipped.add(app)
         package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp()  # on the driver only: Spark copies it from there
+        folder = tempfile.mkdtemp()  # on the driver only: executors fetch the file from there while the session lasts
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow, after which memory goes back to the system: workers outlive their tasks and would keep it.
+
+    Arrays of a megabyte or more are mapped one by one, so that they can go back at once.
+    """
+
+    def wrapped(batches):
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
+_MMAP_THRESHOLD = -3
+
+
+def _libc() -> ctypes.CDLL | None:
+    """The C library, where it has glibc's controls."""
+    libc = ctypes.CDLL(None)
+    return libc if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt") else None
+
+
 class Scratch:
     """Tables of one operator run, written to the shared folder: they cut lineage and outlive executors."""
 

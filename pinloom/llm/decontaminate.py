@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import small_batches, table
+from .common import lean, small_batches, table
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in RATIO of its words is hit.
@@ -136,7 +136,7 @@ def _scan(docs: DataFrame, grams: Grams) -> DataFrame:
             i = batch.schema.get_field_index("__hits")
             yield batch.set_column(i, "__hits", pa.array(found, kind))
 
-    return old.mapInArrow(run, old.schema)
+    return old.mapInArrow(lean(run), old.schema)
 
 
 def _judged(docs: DataFrame, ratio: int) -> DataFrame:
@@ -180,7 +180,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
                 texts.append(text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["__hits"])
 
-    return found.mapInArrow(run, docs.schema)
+    return found.mapInArrow(lean(run), docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, connected_components, small_batches, table, word_hashes
+from .common import Scratch, broadcast_if_small, connected_components, lean, small_batches, table, word_hashes
 
 N_WORDS = 5
 PERCENT = 75
@@ -111,7 +111,7 @@ def _sets(docs: DataFrame, n_words: int, percent: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return source.mapInArrow(run, f"doc_id {kind}, text_hash long, n long, need long, cls string, prefix array<long>")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, text_hash long, n long, need long, cls string, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -125,7 +125,7 @@ def _full_sets(docs: DataFrame, n_words: int) -> DataFrame:
             cls = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets], pa.string())
             yield pa.RecordBatch.from_arrays([cls, _lists(sets), _lists(keys)], ["cls", "tokens", "keys"])
 
-    return docs.select("text").mapInArrow(run, "cls string, tokens array<long>, keys array<long>")
+    return docs.select("text").mapInArrow(lean(run), "cls string, tokens array<long>, keys array<long>")
 
 
 def _settled(rows: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -147,7 +147,7 @@ def _settled(rows: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
                 ["row", "c", "prefix", "k", "weight"],
             )
 
-    return rows.mapInArrow(run, "row long, c long, prefix array<long>, k long, weight long")
+    return rows.mapInArrow(lean(run), "row long, c long, prefix array<long>, k long, weight long")
 
 
 def _candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, lean, small_batches, table
 from .tokens import END_ID, encode_batches, vocabulary_path
 
 MAX_TOKENS = 4096
@@ -91,7 +91,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, max
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, scratch: Scratch, max_tokens: int = MAX_TOKENS, per_packer: int = PIECES_PER_PACKER) -> DataFrame:

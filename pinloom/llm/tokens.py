@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, lean, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words a worker remembers; the table starts anew when full (about 150 bytes a word).
-REMEMBERED = 600_000
+#: Words a task remembers; the table starts anew when full (about 150 bytes a word).
+REMEMBERED = 300_000
 #: Characters encoded in one go: the more, the fewer lookups of frequent words.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 ROWS_PER_FILE = 200_000
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 2000
@@ -91,7 +91,10 @@ class Encoder:
         at = coded.indices.to_numpy(zero_copy_only=False)
         n = size[at]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (ends - n), n) + np.arange(n.sum())]
+        short = np.int32 if len(ends) and max(ends[-1], len(flat)) < 2**31 else np.int64  # what follows is the largest
+        place = np.repeat((first[at] - (ends - n)).astype(short), n)
+        place += np.arange(len(place), dtype=short)
+        ids = flat[place]
         cuts = np.concatenate([[0], ends])[np.asarray(split.offsets)]
         return [np.array(odd[i], "<u4") if i in odd else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
@@ -100,7 +103,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
+    """One encoder for each vocabulary and worker process; the words it knows go with each task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -131,6 +134,7 @@ def encode_batches(batches, path: str, end_id: int | None, size: int = TOGETHER)
                 held, texts, n = [], [], 0
     if held:
         yield from done()
+    enc.known.clear()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_ID, rows_per_file: int = ROWS_PER_FILE) -> None:
@@ -154,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int |
     n = max(1, -(-docs.count() // rows_per_file), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(run, f"doc_id {kind}, tokens array<int>").write.mode("overwrite")
+        ordered.mapInArrow(lean(run), f"doc_id {kind}, tokens array<int>").write.mode("overwrite")
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES))
         .option("compression", "zstd").orc(path)
@@ -186,7 +190,7 @@ def token_index(files: DataFrame, scratch: Scratch) -> DataFrame:
             )
 
     rows = files.select("doc_id", "tokens", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).mapInArrow(
-        run, f"doc_id {kind}, file string, block long, n_tokens long, ids_crc32 long"
+        lean(run), f"doc_id {kind}, file string, block long, n_tokens long, ids_crc32 long"
     )
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "token-index")
     # One row a file from here; empty files have none.
