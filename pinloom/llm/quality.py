@@ -5,15 +5,16 @@ Two pairs of hashed n-gram models, of target text (labelled good: quality 1, tox
 over longer runs, which shows repetition and markup; the other counts a word once a document, over
 short runs, which shows rare spoiling words. A document's log weight is the ratio of its least
 target-like run, under either pair, on a scale on which CLEAN_LOSS of held-out good documents lie
-below -1.
+below -1: over a whole text, ordinary words would outweigh any spoiled passage.
 
 Documents are drawn without replacement by Gumbel top-k: k is the number of documents whose weight
 is -1 or more, and the k largest of SHARPNESS times weight plus Gumbel noise stay. The noise
 comes from a hash of the row, so a rerun draws the same documents.
 
-The models have a fixed number of buckets; counts cover all documents and are combined by bucket
-before they reach the driver. Labelled rows are used up to ``max_labels``, those with the smallest
-hashes; three quarters of them fit the target models, the rest set the scale.
+Texts are read twice, to count and to weigh. Counts cover all documents and are combined by bucket;
+sums, ratios, scales, weights and the draw are DataFrame operations, and only the finished models come to
+the driver. Labelled rows are used up to ``max_labels``, those with the smallest hashes; three
+quarters of them fit the target models, the rest set the scale.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import Scratch, small_batches, table, word_hashes
+from .common import Scratch, lean, small_batches, table, word_hashes
 
 #: Buckets for words, and as many for word pairs.
-BUCKETS = 1 << 19
+BUCKETS = 1 << 20
 #: Bound of the labelled rows that are used, by smallest hash of doc_id.
 MAX_LABELS = 100_000
 #: Added to both models' counts on the target's scale.
@@ -38,11 +41,14 @@ SMOOTHING = {"tokens": 2.0, "types": 1.0}
 RUN = {"tokens": 16, "types": 2}
 #: Share of held-out good documents below -1 under each pair.
 CLEAN_LOSS = 0.01
-SHARPNESS = 50.0
+#: Factor of weights before noise is added: the smallest tried that loses no more held-out good documents than a plain cut.
+SHARPNESS = 20.0
 SEED = 42
 
 _WORD = re.compile(rb"[a-z\x80-\xff]+|[0-9]|[^\sa-z0-9\x80-\xff]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KINDS = ("tokens", "types")
+_COUNTS = ("raw_tokens", "raw_types", "target_tokens", "target_types")
 
 
 def features(text: str | None, buckets: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +60,11 @@ def features(text: str | None, buckets: int, known: dict[bytes, int]) -> tuple[n
     return (h & mask).astype(np.int64), ((pairs * _A) >> np.uint64(20) & mask).astype(np.int64) + buckets
 
 
-class Weigher:
-    """Log ratios by bucket of both pairs of models, and their scales."""
+class Models:
+    """Log ratios by bucket of both pairs of models."""
 
-    def __init__(self, ratios: dict[str, np.ndarray], scale: dict[str, float], buckets: int):
-        self.ratios, self.scale, self.buckets = ratios, scale, buckets
+    def __init__(self, ratios: dict[str, np.ndarray], buckets: int):
+        self.ratios, self.buckets = ratios, buckets
 
     def parts(self, text: str | None, known: dict[bytes, int]) -> tuple[float, float]:
         """Smallest ratio of a run of words by tokens, and by types, where a word counts where it comes first."""
@@ -77,10 +83,6 @@ class Weigher:
             out.append(float((c[n:] - c[:-n]).min()))
         return out[0], out[1]
 
-    def weight(self, text: str | None, known: dict[bytes, int]) -> float:
-        a, b = self.parts(text, known)
-        return min(a / self.scale["tokens"], b / self.scale["types"])
-
 
 def noise(doc_id, text: str | None, seed: int = SEED) -> float:
     """Standard Gumbel noise from a hash of the row."""
@@ -88,13 +90,12 @@ def noise(doc_id, text: str | None, seed: int = SEED) -> float:
     return float(-np.log(-np.log(u / 2.0**53)))
 
 
-def _labelled(labels: DataFrame, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids of good documents to fit on, and held out."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    good = rows.where("doc_id is not null").orderBy("h", "doc_id").limit(max_labels).where("good").toPandas()
-    held = (good["h"].to_numpy() >> 8) % 4 == 0
-    ids = good["doc_id"].to_numpy()
-    return np.unique(ids[~held]), np.unique(ids[held])
+def _labelled(labels: DataFrame, scratch: Scratch, max_labels: int) -> DataFrame:
+    """(id, held): distinct ids of good documents, to fit on or held out; at most ``max_labels``."""
+    i = F.col("doc_id").cast("long")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    rows = labels.select(i.alias("id"), F.xxhash64(i).alias("h"), good.alias("good")).where("id is not null").orderBy("h", "id").limit(max_labels)
+    return scratch.save(rows.where("good").select("id", (F.pmod(F.shiftright("h", 8), F.lit(4)) == 0).alias("held")).distinct(), "labels")
 
 
 def _member(ids: np.ndarray, column) -> np.ndarray:
@@ -103,20 +104,18 @@ def _member(ids: np.ndarray, column) -> np.ndarray:
     return found & np.asarray(values.is_valid())
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labels: int = MAX_LABELS, clean_loss: float = CLEAN_LOSS) -> Weigher:
-    """Counts over all ``docs``, the target's over those labelled good. Without good labels every weight is 0."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    fitted, held = _labelled(labels, max_labels)
-    chosen = spark.sparkContext.broadcast((fitted, held))
+def _counts(docs: DataFrame, fitted: np.ndarray, scratch: Scratch, buckets: int) -> DataFrame:
+    """By bucket that occurs: occurrences and documents, in all documents and in the target's."""
+    chosen = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def count(batches):
-        total, known = np.zeros((4, 2 * buckets)), {}
+        total, known = np.zeros((4, 2 * buckets), np.uint32), {}
         for batch in batches:
-            good = _member(chosen.value[0], batch.column("doc_id"))
+            good = _member(chosen.value, batch.column("doc_id"))
             for text, t in zip(batch.column("text"), good):
                 f = np.concatenate(features(text.as_py(), buckets, known))
                 once, n = np.unique(f, return_counts=True)
+                n = n.astype(np.uint32)
                 total[0, once] += n
                 total[1, once] += 1
                 if t:
@@ -125,56 +124,59 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_labels:
         at = np.flatnonzero(total[0])
         for a in range(0, len(at), 65536):
             part = at[a : a + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in total)], ["bucket", "raw", "raw_types", "target", "target_types"])
-
-    counts = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw double, raw_types double, target double, target_types double")
-    sums = counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in counts.columns[1:])).toArrow()
-    ratios = {}
-    at = sums.column("bucket").to_numpy()
-    for kind, raw, target in (("tokens", "raw", "target"), ("types", "raw_types", "target_types")):
-        r, t = np.zeros(2 * buckets), np.zeros(2 * buckets)
-        r[at], t[at] = sums.column(raw).to_numpy(), sums.column(target).to_numpy()
-        ratio = np.zeros(2 * buckets, np.float32)
-        for part in (slice(0, buckets), slice(buckets, None)):
-            if t[part].sum():
-                ratio[part] = np.log((t[part] + SMOOTHING[kind]) / (r[part] * (t[part].sum() / r[part].sum()) + SMOOTHING[kind]))
-        ratios[kind] = ratio
-    weigher = Weigher(ratios, {"tokens": 1.0, "types": 1.0}, buckets)
-    shared = spark.sparkContext.broadcast(weigher)
-
-    def held_out(batches):
-        known = {}
-        for batch in batches:
-            some = batch.filter(pa.array(_member(chosen.value[1], batch.column("doc_id"))))
-            found = [shared.value.parts(t.as_py(), known) for t in some.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["tokens", "types"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype("i4")), *(pa.array(x[part].astype("i4")) for x in total)], ["bucket", *_COUNTS])
+
+    counts = docs.select("doc_id", "text").mapInArrow(lean(count), "bucket int, " + ", ".join(f"{c} int" for c in _COUNTS))
+    sums = scratch.save(counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in _COUNTS)), "counts")
+    chosen.destroy()
+    return sums
+
 
-    scores = docs.select("doc_id", "text").mapInArrow(held_out, "tokens double, types double").agg(
-        *(F.percentile_approx(k, clean_loss, 10_000).alias(k) for k in ("tokens", "types"))
-    ).first()
-    weigher.scale = {k: max(1.0, -scores[k]) if scores[k] is not None else 1.0 for k in ("tokens", "types")}
-    return weigher
+def _ratio(kind: str, scale: dict[bool, float | None], buckets: int) -> Column:
+    """The log ratio of a bucket; 0 for a half (words, pairs) that the target lacks. scale: target's over raw's total, by half."""
+    s = SMOOTHING[kind]
+    one = lambda x: F.log((F.col(f"target_{kind}") + s) / (F.col(f"raw_{kind}") * x + s)) if x else F.lit(0.0)
+    return F.when(F.col("bucket") < buckets, one(scale.get(True))).otherwise(one(scale.get(False))).cast("float")
 
 
-def importance(docs: DataFrame, weigher: Weigher, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight and the Gumbel key of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(weigher)
+def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, buckets: int = BUCKETS, max_labels: int = MAX_LABELS) -> Models:
+    """Counts over all ``docs``, the target's over those labelled good and not held out. Without any, every ratio is 0."""
+    small_batches(docs.sparkSession)
+    good = _labelled(labels, scratch, max_labels)
+    fitted = np.sort(good.where("not held").toArrow().column("id").to_numpy())
+    sums = _counts(docs, fitted, scratch, buckets)
+    totals = sums.groupBy((F.col("bucket") < buckets).alias("words")).agg(*(F.sum(c).alias(c) for c in _COUNTS)).collect()
+    scale = {k: {r["words"]: r[f"target_{k}"] / r[f"raw_{k}"] for r in totals} for k in _KINDS}
+    found = sums.select("bucket", *(_ratio(k, scale[k], buckets).alias(k) for k in _KINDS)).toArrow()
+    ratios = {k: np.zeros(2 * buckets, np.float32) for k in _KINDS}
+    for k in _KINDS:
+        ratios[k][found.column("bucket").to_numpy()] = found.column(k).to_numpy()
+    scratch.drop("counts")
+    return Models(ratios, buckets)
+
+
+def _scored(docs: DataFrame, models: Models, scratch: Scratch, seed: int, whole: bool) -> DataFrame:
+    """doc_id, tokens, types, noise of each row; with ``whole`` also row, a struct of all its columns. Written out."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    columns = docs.columns if whole else ["doc_id"]
+    schema = StructType([docs.schema[c] for c in columns])
+    row = to_arrow_schema(StructType().add("row", schema)).field("row").type
 
     def run(batches):
         known = {}
         for batch in batches:
-            w, k = _keys(shared.value, batch, seed, known)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(w), pa.array(k)], ["doc_id", "log_weight", "gumbel_key"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, log_weight double, gumbel_key double")
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            parts = np.array([shared.value.parts(t, known) for t in texts], np.float64).reshape(-1, 2)
+            g = np.array([noise(i, t, seed) for i, t in zip(ids, texts)], np.float64)
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in columns], fields=list(row))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(parts[:, 0]), pa.array(parts[:, 1]), pa.array(g)], ["row", *_KINDS, "noise"])
 
-
-def _keys(weigher: Weigher, batch, seed: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    texts = batch.column("text").to_pylist()
-    w = np.array([weigher.weight(t, known) for t in texts], np.float64)
-    g = np.array([noise(i, t, seed) for i, t in zip(batch.column("doc_id").to_pylist(), texts)], np.float64)
-    return w, SHARPNESS * w + g
+    out = StructType().add("row", schema).add("tokens", "double").add("types", "double").add("noise", "double")
+    source = docs if whole else docs.select("doc_id", "text")
+    scored = scratch.save(source.mapInArrow(lean(run), out), "scored")
+    shared.destroy()
+    return scored
 
 
 def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -202,39 +204,45 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 10_000)
     return float(rest[k - above - 1])
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, **fit_options) -> DataFrame:
+def _drawn(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int, clean_loss: float, sharpness: float, whole: bool, **fit_options) -> DataFrame:
+    """_scored() with log_weight, gumbel_key and kept."""
+    scored = _scored(docs, fit(docs, labels, scratch, **fit_options), scratch, seed, whole)
+    held = scratch.spark.read.parquet(scratch.path("labels")).where("held")  # at most max_labels rows
+    scale = (
+        scored.join(F.broadcast(held), F.col("row.doc_id").cast("long") == F.col("id"), "left_semi")
+        .agg(*(F.percentile_approx(k, clean_loss, 10_000).alias(k) for k in _KINDS)).first()
+    )
+    unit = {k: max(1.0, -scale[k]) if scale[k] is not None else 1.0 for k in _KINDS}
+    weighed = scored.withColumn("log_weight", F.least(*(F.col(k) / F.lit(unit[k]) for k in _KINDS)))
+    weighed = weighed.withColumn("gumbel_key", F.col("log_weight") * F.lit(sharpness) + F.col("noise"))
+    limit = kth_largest(weighed.select("gumbel_key"), weighed.where("log_weight >= -1").count())
+    return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(limit))
+
+
+def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, clean_loss: float = CLEAN_LOSS, sharpness: float = SHARPNESS, **fit_options) -> DataFrame:
     """One row per document: doc_id, log_weight, gumbel_key, kept.
 
     Null and empty texts have no n-grams and weight 0, so they stay. A null doc_id is never
     labelled. Repeated rows share their noise and so their fate; rows tied with the k-th stay.
     Without documents the result is empty, without good labels everything stays.
     """
-    small_batches(docs.sparkSession)
-    scores, limit = _drawn(docs, fit(docs, labels, **fit_options), scratch, seed)
-    return scores.withColumn("kept", F.col("gumbel_key") >= F.lit(limit))
-
-
-def _drawn(docs: DataFrame, weigher: Weigher, scratch: Scratch, seed: int) -> tuple[DataFrame, float]:
-    scores = scratch.save(importance(docs, weigher, seed), "importance")
-    k = scores.where("log_weight >= -1").count()
-    return scores, kth_largest(scores.select("gumbel_key"), k)
+    drawn = _drawn(docs, labels, scratch, seed, clean_loss, sharpness, False, **fit_options)
+    return drawn.select(F.col("row.doc_id").alias("doc_id"), "log_weight", "gumbel_key", "kept")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, **fit_options) -> DataFrame:
-    """The documents that are drawn, with all their columns: keys are found anew, so no join is needed."""
-    small_batches(docs.sparkSession)
-    weigher = fit(docs, labels, **fit_options)
-    _, limit = _drawn(docs, weigher, scratch, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(weigher)
+def drop_rejected(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, clean_loss: float = CLEAN_LOSS, sharpness: float = SHARPNESS, **fit_options) -> DataFrame:
+    """The documents that are drawn, with all their columns, whatever their names; rows as in resample().
 
-    def run(batches):
-        known = {}
-        for batch in batches:
-            yield batch.filter(pa.array(_keys(shared.value, batch, seed, known)[1] >= limit))
-
-    return docs.mapInArrow(run, docs.schema)
+    Rows are written out with their scores, as a second weighing would cost more than reading them again.
+    """
+    drawn = _drawn(docs, labels, scratch, seed, clean_loss, sharpness, True, **fit_options)
+    return drawn.where("kept").select("row.*")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, log_weight, gumbel_key and kept of each of ``documents``, with the models fitted on them and on ``labels``.
+
+    Nulls, empty texts, ties, repeated rows and empty tables as in resample().
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample(docs, table(spark, sf_dir, "labels"), Scratch(spark, "quality"))
