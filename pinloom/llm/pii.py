@@ -2,15 +2,17 @@
 
 Base kinds (email, ip, card, phone) are proposed leftmost and non-overlapping per kind and
 confirmed by their validators; they are always reported. The method's own kinds follow: iban
-(mod-97), ssn (number rules), and phone and card numbers in other forms. Each starts from a prior;
-a context word within CONTEXT characters before or after raises the score, and what stays below
-THRESHOLD is dropped.
+(mod-97), ssn (number rules), phone numbers in other forms, and secrets (letters and digits mixed as in random keys). Each
+starts from a prior; a context word within CONTEXT characters before or after raises the score, and what
+stays below THRESHOLD is dropped.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import lean, small_batches, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "phone_local")
+KINDS = (*BASE, "iban", "ssn", "phone_local", "secret")
 #: Characters on either side in which a context word counts.
 CONTEXT = 40
 THRESHOLD = 0.5
 #: Score of a confirmed span without context, and what a context word adds.
-PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "phone_local": 0.2}
+PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "phone_local": 0.2, "secret": 0.3}
 BOOST = 0.4
 WORDS = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel"),
@@ -33,7 +35,10 @@ WORDS = {
     "iban": ("iban", "bank", "account", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social security"),
     "phone_local": ("phone", "tel", "call", "mobile", "fax", "telefon"),
+    "secret": ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "credential", "bearer", "auth"),
 }
+#: Bits a character that random keys have at least; words and plain numbers have fewer, or lack letters or digits.
+SECRET_BITS = 3.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -56,7 +61,9 @@ IBAN_LENGTH = {
 }
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _PHONE_LOCAL = re.compile(r"(?<![0-9+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGIT = re.compile(r"[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -124,11 +131,22 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     }
 
 
+def looks_random(key: str) -> bool:
+    """Letters and digits, of at least SECRET_BITS bits a character."""
+    if not (any(c.isdigit() for c in key) and any(c.isalpha() for c in key)):
+        return False
+    return -sum(n / len(key) * math.log2(n / len(key)) for n in Counter(key).values()) >= SECRET_BITS
+
+
 def _proposed(text: str) -> dict[str, list[tuple[int, int]]]:
+    """The method's own kinds; all of them hold digits."""
+    if _DIGIT.search(text) is None:
+        return {}
     return {
         "iban": _ibans(text),
         "ssn": [m.span() for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"],
         "phone_local": [m.span() for m in _PHONE_LOCAL.finditer(text) if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 12],
+        "secret": [m.span() for m in _SECRET.finditer(text) if looks_random(m[0])],
     }
 
 
@@ -140,22 +158,36 @@ def score(kind: str, text: str, start: int, end: int) -> float:
     return PRIOR[kind] + (BOOST if _NEAR[kind].search(near) else 0.0)
 
 
+class Taken:
+    """Places that spans cover, as disjoint ones in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.starts, a)
+        return (i == 0 or self.ends[i - 1] <= a) and (i == len(self.starts) or b <= self.starts[i])
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
 def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start. Spans of the method don't overlap other spans."""
-    out, taken = [], []
+    out, taken = [], Taken()
     for kind, found in base_spans(text).items():
         out += [(kind, a, b, min(1.0, score(kind, text, a, b))) for a, b in found]
         for s in found:
-            insort(taken, s)
+            taken.add(*s)
     for kind, found in _proposed(text).items():
         for a, b in found:
-            i = bisect_left(taken, (a, b))
-            # base spans of several kinds can overlap one another, so look back a few places
-            if any(s < b and a < e for s, e in taken[max(0, i - 4) : i + 1]):
-                continue
-            if (p := score(kind, text, a, b)) >= THRESHOLD:
+            if taken.free(a, b) and (p := score(kind, text, a, b)) >= THRESHOLD:
                 out.append((kind, a, b, min(1.0, p)))
-                insort(taken, (a, b))
+                taken.add(a, b)
     return out
 
 
@@ -178,6 +210,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans and has_pii (whether there are any) of each of ``documents``.
+
+    Nulls, empty texts, repeated rows and empty tables as in find_pii().
+    """
     found = find_pii(table(spark, sf_dir, "documents"))
     one = "concat_ws(':', s.kind, s.start, s.end)"
     return found.selectExpr(
@@ -185,4 +221,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) AS n_{k}" for k in BASE),
         f"sha2(array_join(transform(filter(spans, s -> s.kind in {BASE}), s -> {one}), ','), 256) AS base_sha256",
         f"array_join(transform(spans, s -> {one}), ',') AS spans",
+        "cast(size(spans) as long) AS n_spans",
+        "size(spans) > 0 AS has_pii",
     )

@@ -106,6 +106,43 @@ def test_pii_of_the_method():
     assert kinds("call (030) 123 456 78") == [("phone_local", "(030) 123 456 78")] and kinds("sum 030 123 456 78") == []
 
 
+def test_secrets():
+    kinds = lambda t: [(k, t[a:b]) for k, a, b, _ in pii.spans_of(t)]
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{key}" x') == kinds(f"api_key:{key}") == [("secret", key)]
+    assert kinds(f"digest {key}") == [] and kinds("token aaaaaaaaaaaaaaaaaaaa1111111111") == [] and kinds("token internationalisationally") == []
+    assert kinds("token 4111111111111111")[0][0] == "card"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12)), max_size=20), st.integers(0, 50), st.integers(1, 15))
+def test_taken_places(parts, a, n):
+    taken, places = pii.Taken(), set()
+    for start, size in parts:
+        taken.add(start, start + size)
+        places |= {*range(start, start + size)}
+    assert taken.free(a, a + n) == (not places & {*range(a, a + n)})
+
+
+def test_pii_query(spark, tmp_path):
+    """The query's columns against the contract's patterns."""
+    texts = ["a@b.co and 1.2.3.4", "x" * 5000 + " +1 (386) 555-3733 4111111111111111", None, "", "mail a@b.c, a@b.c", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "é 1.2.3.4 \U0001f600 5.6.7.8", "plain"]
+    docs = docs_frame(spark, texts)
+    docs.unionByName(docs.limit(2)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = pii.op1_pii(spark, str(tmp_path)).collect()
+    by_id = {r.doc_id: r for r in rows}
+    assert len(rows) == len(texts) + 2 and all(r == by_id[r.doc_id] for r in rows)
+    for i, t in enumerate(texts):
+        want = base(t or "")
+        r = by_id[i]
+        assert [r[f"n_{k}"] for k in BASE] == [len(want[k]) for k in BASE]
+        joined = [f"{k}:{a}:{b}" for k in BASE for a, b in want[k]]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert r.spans.split(",")[: len(joined)] == joined or not joined
+        assert r.n_spans == len([x for x in r.spans.split(",") if x]) and r.has_pii == (r.n_spans > 0)
+    assert by_id[5].spans == "secret:9:49" and by_id[5].n_spans == 1 and by_id[7].spans == ""
+
+
 def test_iban_before_other_words():
     de, gb, no = "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "NO9386011117947"
     found = lambda t: [t[a:b] for k, a, b, _ in pii.spans_of(t) if k == "iban"]
