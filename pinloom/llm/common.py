@@ -137,6 +137,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct ``row``, beside which an operator's own columns clash with no name."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint only for a side whose counted rows fit; else Spark's own choice of join."""
     return F.broadcast(df) if rows <= limit else df

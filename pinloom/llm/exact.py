@@ -3,16 +3,17 @@
 Texts are equal when identical after lower-casing A-Z. Their SHA-256 digests are written once as
 a narrow table. A Misra-Gries family sketch (Spark's approx_top_k) proposes frequent digests, an
 exact count over all rows verifies them, and the verified winners, at most ``max_heavy`` rows, are
-broadcast: their copies are settled map-side without a shuffle. What remains has bounded groups
-and takes an ordinary shuffle of digests. Only DataFrame operations run here.
+broadcast: their copies are settled map-side without a shuffle. What remains takes an ordinary shuffle
+of digests: groups are aggregated map-side first, and those of several rows joined back, so that no task
+holds a group. Only DataFrame operations run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, broadcast_if_small, table
+from .common import Scratch, ascii_lower, broadcast_if_small, table, whole_row
 
 #: Proposed digests; also the bound of the broadcast table (about 150 bytes a row).
 MAX_HEAVY = 2000
@@ -40,15 +41,13 @@ def _split(docs: DataFrame, scratch: Scratch, max_heavy: int, counters: int) ->
     )
     marked = digests.join(F.broadcast(winners), "text_sha256", "left")
     heavy = marked.where("group_size is not null").withColumn("heavy", F.lit(True))
-    w = Window.partitionBy("text_sha256")
-    rest = (
-        marked.where("group_size is null")
-        .drop("best", "group_size")
-        .withColumn("best", best.over(w))
-        .withColumn("group_size", F.count(F.lit(1)).over(w))
-        .withColumn("heavy", F.lit(False))
+    rest = marked.where("group_size is null").drop("best", "group_size")
+    groups = rest.groupBy("text_sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    alone = F.struct("doc_id", "row")
+    rest = rest.join(groups, "text_sha256", "left").select(
+        "text_sha256", "doc_id", "row", F.coalesce("best", alone).alias("best"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.lit(False).alias("heavy")
     )
-    return heavy.unionByName(rest), winners
+    return heavy.select(*rest.columns).unionByName(rest), winners
 
 
 def exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MAX_HEAVY, counters: int = COUNTERS) -> DataFrame:
@@ -80,21 +79,23 @@ def drop_exact_duplicates(docs: DataFrame, scratch: Scratch, max_heavy: int = MA
     keys = rows.where("group_size > 1").where(is_best | ~F.col("heavy")).groupBy("doc_id", "text_sha256").agg(
         F.max(is_best.cast("int")).alias("stays"), F.count(F.lit(1)).alias("n")
     )
-    keys = scratch.save(keys.where("stays = 0 or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"), "stays"), "keys")
+    keys = scratch.save(keys.where("stays = 0 or n > 1").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "stays"), "keys")
     n, ties = keys.agg(F.count(F.lit(1)), F.sum("stays")).first()
     side = broadcast_if_small(keys, n)
-    won = winners.select(F.col("text_sha256").alias("__won"), F.col("best.doc_id").alias("__best"))
-    d = docs.withColumn("__sha", _digest())
-    d = d.join(F.broadcast(won), F.col("__sha") == F.col("__won"), "left").where(F.col("__won").isNull() | F.col("doc_id").eqNullSafe(F.col("__best")))
-    same = d["doc_id"].eqNullSafe(side["__id"]) & (d["__sha"] == side["__key"])
-    once = d.join(side, same, "left_anti").select(*docs.columns)
+    won = winners.select(F.col("text_sha256").alias("won"), F.col("best.doc_id").alias("best"))
+    d = docs.select(whole_row(docs), _digest().alias("sha"))
+    d = d.join(F.broadcast(won), F.col("sha") == F.col("won"), "left").where(F.col("won").isNull() | F.col("row.doc_id").eqNullSafe(F.col("best")))
+    d = d.select("row", "sha")
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("sha") == F.col("key"))
+    once = d.join(side, same, "left_anti").select("row.*")
     if not ties:
         return once
-    tied = d.join(side.where("stays = 1"), same, "left_semi").groupBy("__sha").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return once.unionByName(tied.select("r.*").select(*docs.columns))
+    tied = d.join(side.where("stays = 1"), same, "left_semi").groupBy("sha").agg(F.min("row").alias("row"))
+    return once.unionByName(tied.select("row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of each of ``documents``; ties, nulls and empty tables as in exact_duplicates()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_duplicates(docs, Scratch(spark, "exact"))
 
