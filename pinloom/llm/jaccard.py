@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, connected_components, lean, small_batches, table, word_hashes
+from .common import Scratch, broadcast_if_small, connected_components, lean, small_batches, table, whole_row, word_hashes
 
 N_WORDS = 5
 PERCENT = 75
 #: Longer prefixes ask for more shared tokens: this share of the set's size is added.
 EXTRA_PERCENT = 15
 PERMUTATIONS = 8
+#: Prefix tokens settled map-side: so many at most, in so many rows at least. The sketch's counters bound the share of
+#: rows that any other token can have, and so the largest window.
 MAX_HOT, COUNTERS, LEAST_HOT = 5000, 50_000, 1000
 #: Sets of a component, and queries, that are read together.
 BLOCK = 2000
@@ -154,9 +156,8 @@ def _candidates(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Classes that the singleton bound leaves: cls, node (a number for the class), rep (a doc_id of it), n, typical."""
     sketch = f"approx_top_k(token, {MAX_HOT}, {COUNTERS})"
     rows = sets.where("n > 0")
-    least_hot = max(LEAST_HOT, rows.count() // 500)
     top = rows.select(F.explode("prefix").alias("token")).agg(F.expr(sketch).alias("top")).select(F.explode("top").alias("t"))
-    frequent = top.select("t.item", F.col("t.count").cast("long").alias("n")).where(F.col("n") >= least_hot).orderBy("item").collect()
+    frequent = top.select("t.item", F.col("t.count").cast("long").alias("n")).where(F.col("n") >= LEAST_HOT).orderBy("item").collect()
     settled = _settled(rows.select("row", F.xxhash64("cls").alias("c"), "prefix"), np.array([r[0] for r in frequent], np.int64), np.array([r[1] for r in frequent], np.int64))
     w = Window.partitionBy("token")
     cold = settled.select("row", "c", F.explode("prefix").alias("token")).select("row", F.min("c").over(w).alias("a"), F.max("c").over(w).alias("b"), F.count("c").over(w).alias("weight"))
@@ -329,14 +330,16 @@ def drop_near_duplicates(docs: DataFrame, scratch: Scratch, n_words: int = N_WOR
     gone = (
         found.join(best, found["component_id"].eqNullSafe(best["component_id"]))
         .where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))))
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+        .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
     )
     gone = scratch.save(gone, "gone")
     side = broadcast_if_small(gone, gone.count())
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left_anti")
+    d = docs.select(whole_row(docs))
+    return d.join(side, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("hash")), "left_anti").select("row.*")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each of ``documents``; nulls, empty texts and tables, repeated rows as in jaccard_components()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_components(docs, Scratch(spark, "jaccard")).drop("text_hash")
 
