@@ -8,7 +8,8 @@ word before it counts.
 
 The hash set grows with the benchmark alone, not with the corpus. Its words are counted first; a
 benchmark of more than ``limit`` words is cut into several sets of that size, each broadcast to a
-scan of its own, one after the other, and their hits are united before a document is judged.
+scan of its own. Rows with their hits are written out between scans, so that one set at a time is in
+memory, and hits are united before a document is judged.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import lean, small_batches, table
+from .common import Scratch, lean, small_batches, table, whole_row
 
 WINDOW = 13
 #: A document is contaminated if at least 1 in RATIO of its words is hit.
@@ -109,40 +111,45 @@ def _batches(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> DataFrame:
-    """``docs`` with hits: struct of n_words, spans [(first, end)] and items, after a scan with each set in turn."""
-    small_batches(docs.sparkSession)
-    out = docs
-    for items in _batches(benchmark, limit):
-        out = _scan(out, Grams(items, window))
+    """row (a struct of all columns of ``docs``) and hits: struct of n_words, spans [(first, end)] and items, after a scan with each set in turn."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    out, shared, scratch = docs.select(whole_row(docs), F.lit(None).cast(HITS).alias("hits")), None, None
+    for i, items in enumerate(_batches(benchmark, limit)):
+        if shared is not None:
+            scratch = scratch or Scratch(spark, "decontaminate")
+            out = scratch.save(out, f"scan-{i}")
+            shared.destroy()
+            if i > 1:
+                scratch.drop(f"scan-{i - 1}")
+        shared = spark.sparkContext.broadcast(Grams(items, window))
+        out = _scan(out, shared)
     return out
 
 
-def _scan(docs: DataFrame, grams: Grams) -> DataFrame:
-    """Adds what a set finds to ``__hits``, which earlier sets may have begun."""
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-    old = docs if "__hits" in docs.columns else docs.withColumn("__hits", F.lit(None).cast(HITS))
+def _scan(rows: DataFrame, shared) -> DataFrame:
+    """Adds what a set finds to ``hits``, which earlier sets may have begun."""
     kind = to_arrow_schema(StructType.fromDDL(f"h {HITS}")).field("h").type
 
     def run(batches):
         for batch in batches:
             found = []
-            for text, before in zip(batch.column("text"), batch.column("__hits").to_pylist()):
-                n, hit, items = shared.value.scan(text.as_py())
+            for text, before in zip(pc.struct_field(batch.column("row"), "text").to_pylist(), batch.column("hits").to_pylist()):
+                n, hit, items = shared.value.scan(text)
                 for s in before["spans"] if before else ():
                     hit[s["first"] : s["end"]] = True
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                 spans = [{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])]
                 found.append({"n_words": n, "spans": spans, "items": sorted(items.union(before["items"] if before else ()))})
-            i = batch.schema.get_field_index("__hits")
-            yield batch.set_column(i, "__hits", pa.array(found, kind))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, kind)], ["row", "hits"])
 
-    return old.mapInArrow(lean(run), old.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
-def _judged(docs: DataFrame, ratio: int) -> DataFrame:
-    n_hit = F.aggregate("__hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
-    d = docs.withColumn("__n_hit", n_hit)
-    return d.withColumn("__bad", (F.col("__n_hit") > 0) & (F.col("__n_hit") * ratio >= F.col("__hits.n_words")))
+def _judged(rows: DataFrame, ratio: int) -> DataFrame:
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    d = rows.withColumn("n_hit", n_hit)
+    return d.withColumn("bad", (F.col("n_hit") > 0) & (F.col("n_hit") * ratio >= F.col("hits.n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, limit: int = LIMIT) -> DataFrame:
@@ -153,22 +160,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, r
     by itself. Windows of repeated items count for each of them.
     """
     found = _judged(_scanned(docs.select("doc_id", "text"), benchmark, window, limit), ratio)
-    return found.select("doc_id", "__hits.n_words", "__hits.spans", "__hits.items", F.col("__n_hit").alias("n_hit"), F.col("__bad").alias("contaminated"))
+    return found.select("row.doc_id", "hits.n_words", "hits.spans", "hits.items", "n_hit", F.col("bad").alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO, limit: int = LIMIT) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns; scans without a join."""
-    return _judged(_scanned(docs, benchmark, window, limit), ratio).where(~F.col("__bad")).select(*docs.columns)
+    """The documents that aren't contaminated, with all their columns, whatever their names; scans without a join."""
+    return _judged(_scanned(docs, benchmark, window, limit), ratio).where(~F.col("bad")).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """``docs`` with the words that are hit, and what stands between them, cut out of the text."""
-    found = _scanned(docs, benchmark, window, limit)
+    found, names = _scanned(docs, benchmark, window, limit), docs.columns
 
     def run(batches):
         for batch in batches:
+            columns = [pc.struct_field(batch.column("row"), c) for c in names]
+            i = names.index("text")
             texts = []
-            for text, hits in zip(batch.column("text").to_pylist(), batch.column("__hits").to_pylist()):
+            for text, hits in zip(columns[i].to_pylist(), batch.column("hits").to_pylist()):
                 if text is not None and hits["spans"]:
                     data = text.encode("utf-8", "surrogatepass")
                     places = [m.span() for m in _RUNS.finditer(data)]
@@ -178,12 +187,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
                         at = places[s["end"] - 1][1]
                     text = b"".join([*parts, data[at:]]).decode("utf-8", "surrogatepass")
                 texts.append(text)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["__hits"])
+            columns[i] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return found.mapInArrow(lean(run), docs.schema)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each of ``documents``; nulls, empty texts and tables, repeated rows as in contamination()."""
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
