@@ -84,7 +84,7 @@ def _parsed(df: DataFrame) -> DataFrame:
     payload = F.expr(f"substring(block_bytes, http_size + {len(END) + 1}, octet_length(block_bytes))")
     df = df.withColumn("http_size", http).withColumn("payload", payload)
     return df.select(
-        *[c for c in df.columns if c in ("file", "block", "row", "value")],
+        *[c for c in df.columns if c in ("file", "block", "row", "value", "hash")],
         "size", "head_size", "content", "whole", "warc_type", "record_id",
         _header("WARC-Target-URI").alias("target_uri"), _header("WARC-Refers-To").alias("refers_id"),
         F.regexp_replace(_header("WARC-Payload-Digest"), "(?i)^sha1:", "").alias("digest"),
@@ -112,9 +112,9 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     """
     n = len(MAGIC)
     parsed = _parsed(_fragments(spark, path))
-    narrow = parsed.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_sha1", F.sha1("payload")).drop("payload", "value")
+    narrow = parsed.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_sha1", F.sha1("payload"))
     # What the tasks emit: candidates with their sizes and digests.
-    candidates = scratch.save(narrow, "fragments")
+    candidates = scratch.save(narrow.withColumn("hash", F.xxhash64("value")).drop("payload", "value"), "fragments")
     placed = _offsets(candidates).where("at >= 0 and content is not null").withColumn("next", F.col("at") + n + F.col("head_size") + F.col("content") + len(END))
     by_file = Window.partitionBy("file").orderBy("at")
     cut = F.coalesce((F.lag("next").over(by_file) != F.col("at")).cast("long"), F.lit(1))
@@ -133,7 +133,7 @@ def read_warc(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     torn = scratch.save(real.where("not whole").select("file", "at", "next"), "torn")
     if torn.limit(1).count() == 0:
         return whole
-    return whole.unionByName(_mended(spark, path, torn).select(*columns))
+    return whole.unionByName(_mended(spark, path, candidates, torn, scratch).select(*columns))
 
 
 def _jump(start: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -153,14 +153,21 @@ def _jump(start: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
         reached, seen = new, count
 
 
-def _mended(spark: SparkSession, path: str, torn: DataFrame) -> DataFrame:
-    """Records whose payload holds magic lines, put together from their fragments; only their files are read again."""
-    raw = _fragments(spark, path).join(torn.select("file").distinct(), "file", "left_semi")
-    raw = _offsets(raw.withColumn("size", F.octet_length("value").cast("long")))
-    marked = raw.join(torn, ["file", "at"], "left").withColumn("first", F.when(F.col("next").isNotNull(), F.struct("at", "next")))
+def _mended(spark: SparkSession, path: str, candidates: DataFrame, torn: DataFrame, scratch: Scratch) -> DataFrame:
+    """Records whose payload holds magic lines, put together from their fragments.
+
+    Their places come from ``candidates``, without payloads; the files are then read for the fragments in those
+    records alone, found by size and hash, so no others travel.
+    """
+    files = torn.select("file").distinct()
+    placed = _offsets(candidates.join(broadcast_if_small(files, files.count()), "file", "left_semi")).select("file", "at", "size", "hash")
+    marked = placed.join(torn, ["file", "at"], "left").withColumn("first", F.when(F.col("next").isNotNull(), F.struct("at", "next")))
     owner = F.last("first", ignorenulls=True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    parts = marked.withColumn("owner", owner).where("owner is not null and at < owner.next")
-    joined = parts.groupBy("file", F.col("owner.at").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
+    parts = scratch.save(marked.withColumn("owner", owner).where("owner is not null and at < owner.next").drop("next", "first"), "torn-parts")
+    keys = parts.select("file", "size", "hash").distinct()
+    raw = _fragments(spark, path).withColumn("size", F.octet_length("value").cast("long")).withColumn("hash", F.xxhash64("value"))
+    wanted = raw.join(broadcast_if_small(keys, keys.count()), ["file", "size", "hash"], "left_semi").groupBy("file", "size", "hash").agg(F.first("value").alias("value"))
+    joined = parts.join(wanted, ["file", "size", "hash"]).groupBy("file", F.col("owner.at").alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
     value = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
     mended = _parsed(joined.select(F.struct("file", "at").alias("file"), value.alias("value"))).where("whole")
     return mended.select(
@@ -183,6 +190,10 @@ def page_records(records: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each of ``pages``, read back from the archives.
+
+    Null html is an empty payload; repeated rows, null urls and empty tables as in write_warc() and read_warc().
+    """
     scratch = Scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), scratch.path("warc"), scratch)
     return page_records(read_warc(spark, scratch.path("warc"), scratch))
