@@ -25,7 +25,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
+#: Rounds at most; they end earlier when no rank has moved by more than TOLERANCE since the last that was written.
 ROUNDS = 8
+TOLERANCE = 1e-9
 #: Distrust, divided or as one link carries it, from which a host can be blocked. Seeds are shares of
 #: a host's pages, from 0 to 1, so the threshold depends neither on the number of hosts nor on degrees.
 THRESHOLD = 0.01
@@ -66,21 +68,33 @@ def propagate(scratch: Scratch, seeds: DataFrame, edges: DataFrame, name: str, d
     """Personalised PageRank: (host, rank) of ``seeds`` (host, seed) over ``edges`` (src, dst).
 
     Each source divides its rank evenly among its distinct targets. Sums are combined map-side, so a
-    host that many link to is no hot key. Every second round is written out.
+    host that many link to is no hot key; a host that links to many is one on one side of an inner join, which adaptive
+    execution splits. Every second round is written out and compared with the one before.
     """
+    if edges.isEmpty():
+        return seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank")) if rounds else seeds.select("host", F.col("seed").alias("rank"))
     out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     weighted = scratch.save(edges.join(out_degree, "src").select("src", "dst", (F.lit(1.0) / F.col("deg")).alias("w")), f"{name}-edges")
-    ranks = seeds.select("host", F.col("seed").alias("rank"))
+    ranks, saved = seeds.select("host", F.col("seed").alias("rank")), None
     for i in range(1, rounds + 1):
         moved = weighted.join(ranks, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
         base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
         ranks = moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
         if i % 2 == 0 or i == rounds:
             ranks = scratch.save(ranks, f"{name}-{i}")
+            if saved is not None and not _moved(saved, ranks):
+                return ranks
             scratch.drop(f"{name}-{i - 2}")
+            saved = ranks
     return ranks
 
 
+def _moved(old: DataFrame, new: DataFrame) -> bool:
+    """Whether any rank differs by more than TOLERANCE."""
+    both = old.select("host", F.col("rank").alias("was")).join(new, "host", "full")
+    return not both.where(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) > TOLERANCE).isEmpty()
+
+
 def carried(scratch: Scratch, scores: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
     """(host, carried) of the hosts in ``scores`` (host, trust, distrust) with more distrust than trust.
 
@@ -148,6 +162,7 @@ def judge_urls(pages: DataFrame, scratch: Scratch, rules=RULES, damping: float =
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of each of ``pages``; null urls, repeated rows and empty tables as in judge_urls()."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return judge_urls(pages, Scratch(spark, "urls")).drop("trust", "distrust")
 
