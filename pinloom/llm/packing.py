@@ -123,5 +123,6 @@ def pack_documents(docs: DataFrame, scratch: Scratch, vocabulary: str, max_token
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of each of ``documents``, with its place; nulls, empty texts, repeated rows and empty tables as in pieces_of() and pack()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, Scratch(spark, "pack"), vocabulary_path())

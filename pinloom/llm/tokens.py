@@ -206,6 +206,7 @@ def token_index(files: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each of ``documents``, from its token files; nulls, repeated rows and empty tables as in write_token_files()."""
     scratch = Scratch(spark, "tokens")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     write_token_files(docs, scratch.path("ids"), vocabulary_path())

@@ -19,7 +19,8 @@ def docs_frame(spark, texts=None, ids=None):
     """documents with columns that clash with names used inside, a null doc_id and a repeated row."""
     texts = ODD_TEXTS if texts is None else texts
     ids = list(range(len(texts))) if ids is None else ids
-    rows = [(i, t, "en", "src0", len(t or ""), "k", 7, "r") for i, t in zip(ids, texts)]
+    rows = [(i, t, "en", "src0", len(t or ""), "k", 7, "r", "h", "s", 5, "x", "y", "b") for i, t in zip(ids, texts)]
     if texts is ODD_TEXTS:
-        rows += [(None, "no id", None, None, None, None, None, None), rows[3], rows[0]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n long, row string").repartition(3)
+        rows += [(None, "no id", *[None] * 12), rows[3], rows[0]]
+    clashing = "kept string, n long, row string, hits string, sha string, id int, __hits string, __sha string, best string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clashing}").repartition(3)

@@ -200,6 +200,7 @@ def test_decontaminate(spark, limit):
     items = [(i, some(rng.randrange(0, 9))) for i in range(12)] + [(20, None), (21, "!!"), (3, "a B a B")]
     texts = [some(rng.randrange(0, 40)) for _ in range(40)] + ["zz " * 90 + "x a B a B y", None, "", "a"]
     df = docs_frame(spark, texts)
+    again = df.unionByName(df)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(df, bench, 4, 20, limit).collect()}
     for d, t in enumerate(texts):
@@ -209,6 +210,7 @@ def test_decontaminate(spark, limit):
     kept = decontaminate.drop_contaminated(df, bench, 4, 20, limit)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [d for d in range(len(texts)) if not got[d].contaminated]
+    assert sorted(map(str, decontaminate.drop_contaminated(again, bench, 4, 20, limit).collect())) == sorted([*map(str, kept.collect())] * 2)
     for r in decontaminate.remove_spans(df, bench, 4, limit).collect():
         left = [w for i, w in enumerate(words(texts[r.doc_id])) if not any(s["first"] <= i < s["end"] for s in got[r.doc_id].spans)]
         assert words(r.text) == left and (r.text == texts[r.doc_id] or got[r.doc_id].n_hit)
@@ -265,6 +267,26 @@ def test_link_graph(spark):
         assert r.trust == pytest.approx(trust.get(r.host, 0)) and r.distrust == pytest.approx(distrust.get(r.host, 0))
 
 
+def test_urls_of_odd_rows(spark):
+    """Repeated rows, null page_id and columns with names used inside; only DataFrame operations."""
+    rows = [(1, "http://bad.com/de/a", "", "h", 1.0), (1, "http://bad.com/de/a", "", "h", 1.0), (None, "http://x.org/", "<a href=http://bad.com/>", "h", 2.0), (2, "http://bad.com/fr/", None, None, None), (2, None, "", "", 0.0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rank double")
+    found = urls.judge_urls(df, Scratch(spark, "test"))
+    assert sorted(str((r.page_id, r.host, r.rule, r.verdict)) for r in found.collect()) == sorted(
+        map(str, [(1, "bad.com", "com/de/", "block")] * 2 + [(None, "x.org", "org/", "allow"), (2, "bad.com", "com/fr/", "allow"), (2, "", None, "allow")])
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_ranks_end_early(spark):
+    """Where links make no ring, ranks stand still before the last round, and further rounds change nothing."""
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    seeds = spark.createDataFrame([("a", 1.0)], "host string, seed double")
+    get = lambda n: {r["host"]: r["rank"] for r in urls.propagate(Scratch(spark, "test"), seeds, edges, "t", rounds=n).collect()}
+    assert get(8) == pytest.approx({"a": 0.15, "b": 0.15 * 0.85, "c": 0.15 * 0.85**2}) and get(20) == pytest.approx(get(8))
+
+
 @pytest.mark.parametrize("n", [1, 12, 13, 300])
 def test_link_graph_popular_blocked_host(spark, n):
     """However many link to a blocked host, each is blocked, and who links to them; trusted hosts aren't and carry nothing."""

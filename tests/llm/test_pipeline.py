@@ -86,3 +86,21 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns[:2] == ["doc_id", "piece"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null ids, null and repeated rows, and names used inside pass through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, sha string, hits string"
+    rows = [(None, "no id at all here", "en", None, None, "r", "s", "h"), (1, None, None, None, None, None, None, None), (1, None, None, None, None, None, None, None), (2, "", "en", "a", 0, "r", "s", "h"), (3, "plain words of a text", "en", "a", 1, "r", "s", "h"), (3, "plain words of a text", "en", "a", 1, "r", "s", "h"), (4, "Plain words of a text", "en", "b", 1, "r", "s", "h")]
+    for name, data in (("some", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(3, 0, 1), (None, 1, 0)][: len(data)], "doc_id long, quality long, toxic long").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, docs, at).write.parquet(f"{at}/{step}")
+            docs = spark.read.parquet(f"{at}/{step}")
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        assert sorted(map(str, {(r.doc_id, r.text) for r in docs.collect()})) == sorted(map(str, [(None, "no id at all here"), (2, ""), (4, "Plain words of a text")] if data else []))
+        assert corpus_pipeline.run(spark, at).count() == (3 if data else 0)

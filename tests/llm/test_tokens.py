@@ -50,3 +50,31 @@ def test_empty(spark):
     scratch = Scratch(spark, "test")
     tokens.write_token_files(docs, scratch.path("ids"), tokens.vocabulary_path())
     assert tokens.token_index(tokens.read_token_files(spark, scratch.path("ids")), scratch).count() == 0
+
+
+def test_files_have_indexes_and_bloom_filters(spark):
+    """In each file: stripes, row indexes and a Bloom filter on doc_id, ids as run lengths."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('word ', id, ' and more of them') AS text")
+    scratch = Scratch(spark, "test")
+    tokens.write_token_files(docs, scratch.path("ids"), tokens.vocabulary_path(), rows_per_file=2500)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(scratch.path("ids"))
+    files = [s.getPath() for s in folder.getFileSystem(conf).listStatus(folder) if s.getPath().getName().endswith(".orc")]
+    assert len(files) >= 2
+    seen = 0
+    for path in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(path, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == tokens.ROW_INDEX_STRIDE and reader.getCompressionKind().toString() == "ZSTD"
+        names = [*reader.getSchema().getFieldNames()]
+        column = reader.getSchema().getChildren().get(names.index("doc_id")).getId()
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            assert (column, "BLOOM_FILTER_UTF8") in kinds and (column, "ROW_INDEX") in kinds
+            assert {c for c, k in kinds if k == "BLOOM_FILTER_UTF8"} == {column}
+            assert {e.getKind().toString() for e in footer.getColumnsList()} <= {"DIRECT", "DIRECT_V2"}
+            seen += 1
+        rows.close()
+    assert seen >= len(files)
