@@ -506,9 +506,9 @@ def _sparse_array(docs: DataFrame, scratch: Scratch, length: int, gram: int, bac
     side = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
     side = side.withColumnRenamed("cls", "__cls")
     chosen = texts.join(side, (texts["cls"] == side["__cls"]) & texts["doc_id"].eqNullSafe(side["rep"]))
-    contexts = scratch.save(_contexts(chosen, length, gram, back, ahead), "contexts")
+    contexts = scratch.save(_contexts(chosen, length, gram, back, ahead), "contexts", "zstd")  # contexts of neighbouring anchors overlap
     distinct = contexts.groupBy("gram", "ctx").agg(F.sum(F.size("positions")).alias("k"), *(F.first(c).alias(c) for c in ("words", "before", "after")))
-    return classes.drop("grams", "own"), contexts, scratch.save(distinct, "distinct")
+    return classes.drop("grams", "own"), contexts, scratch.save(distinct, "distinct", "zstd")
 
 
 def _hot(distinct: DataFrame, scratch: Scratch, max_contexts: int) -> tuple[DataFrame, DataFrame | None]:
