@@ -2,27 +2,28 @@
 
 A registry holds immutable DataFrame snapshots of the three base tables and of suffix overlays.
 Every edit makes a new snapshot and raises the version, so plans built later see it. Romanizers
-take a ``Dictionary``: the merged entries as lookups, cached by version. Overlay edits show after
+take a ``Dictionary``: the merged entries, cached by version. Overlay edits show after
 their cache is cleared or the base version moves on.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions.lookup import Lookup
+from .functions.kernels import first_reading, first_readings
 from .operators.tables import insert_if_absent, overlay_merge, upsert
 
+__all__ = ["Dictionary", "Registry", "canonical_suffix", "first_reading", "first_readings", "standard_tokens"]
+
 MAPPING_SCHEMA = "character string, pinyin string"
 TOKEN_SCHEMA = "character string, category smallint"
 WORDS_SCHEMA = "word string, pinyin string"
 SCHEMAS = {"mapping": MAPPING_SCHEMA, "token": TOKEN_SCHEMA, "words": WORDS_SCHEMA}
 SPACE = (" ", " ")
-#: Entries of a table that may come to the driver as a lookup. Dictionaries are bounded by the language.
+#: Entries of a table that may come to the driver to be broadcast. Dictionaries are bounded by the language.
 MAX_ENTRIES = 2_000_000
 
 # The initials, the vowels that are tokens, and the finals that each initial takes.
@@ -73,63 +74,19 @@ def canonical_suffix(suffix: str | None) -> str | None:
     return f"_{name.lower()}"
 
 
-def first_reading(pinyin: str) -> str:
-    """The first non-empty reading between pipes, ASCII lower-cased."""
-    part = next((p for p in pinyin.split("|") if p), pinyin)
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in part)
-
-
-def first_readings(pinyin: str) -> str:
-    """first_reading() of each blank-separated part, joined by one space."""
-    return " ".join(map(first_reading, pinyin.split()))
-
-
 @dataclass(frozen=True)
 class Dictionary:
-    """Merged entries as plain tables and as lookups for expressions."""
+    """Merged entries as plain tables; ``shared`` keeps what a session has broadcast of them."""
 
     mapping: dict[str, str]
     tokens: dict[str, int]
     words: dict[str, str]
+    shared: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def syllables(self) -> list[str]:
         return [t for t, k in self.tokens.items() if k == 1]
 
-    @cached_property
-    def readings(self) -> Lookup:
-        return Lookup(self.mapping)
-
-    @cached_property
-    def first(self) -> Lookup:
-        return Lookup({k: first_readings(v) for k, v in self.mapping.items()})
-
-    @cached_property
-    def word_readings(self) -> Lookup:
-        return Lookup(self.words)
-
-    @cached_property
-    def word_first(self) -> Lookup:
-        return Lookup({k: first_readings(v) for k, v in self.words.items()})
-
-    @cached_property
-    def spans(self) -> dict[str, str]:
-        """First readings of words that spans of single characters can form."""
-        return {k: first_readings(v) for k, v in self.words.items() if len(k) > 1 and not any(c.isspace() or (c.isascii() and c.isalnum()) for c in k)}
-
-    @cached_property
-    def span_first(self) -> Lookup:
-        return Lookup(self.spans)
-
-    @cached_property
-    def span_lengths(self) -> list[int]:
-        """Lengths of those words, longest first."""
-        return sorted({len(k) for k in self.spans}, reverse=True)
-
-    @cached_property
-    def max_word_len(self) -> int:
-        return max(map(len, self.words), default=0)
-
 
 class Registry:
     """The dictionary store of one session."""

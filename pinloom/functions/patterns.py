@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import pinyin_tokenize
+from .text import once, pinyin_tokenize
 
 QUERY_TYPE = "struct<kind:string,patterns:array<string>,slope:int,max_expansions:int>"
 
@@ -25,8 +25,8 @@ def pinyin_isearch(c: Column, tokens: dict[str, int], prefix: bool = False, incl
     found = pinyin_tokenize(c, [t for t, k in tokens.items() if k == 1], include_zhchsh)
     initials = F.array(*(F.lit(t) for t, k in sorted(tokens.items()) if k == 2)).cast("array<string>")
     one = lambda t: F.concat(F.lit(r"\S*\|"), t, F.when(F.array_contains(initials, t), r"[^\|]*").otherwise(""), F.lit(r"\|\S*"))
-    out = F.array_join(F.transform(found, one), " ")
-    return F.when(F.size(found) > 0, F.concat(F.lit("^"), out) if prefix else out)
+    head = F.lit("^" if prefix else "")
+    return once(found, lambda ts: F.when(F.size(ts) > 0, F.concat(head, F.array_join(F.transform(ts, one), " "))))
 
 
 def regex_phrase_patterns(c: Column, syllables, generated_pinyin: bool | None = False, strict: bool = False) -> Column:
@@ -44,7 +44,7 @@ def regex_phrase_patterns(c: Column, syllables, generated_pinyin: bool | None =
 
 def phrase_token_count(c: Column, syllables) -> Column:
     """Number of syllables, null where there are none."""
-    return F.nullif(F.size(regex_phrase_patterns(c, syllables, strict=True)), F.lit(0))
+    return once(F.size(regex_phrase_patterns(c, syllables, strict=True)), lambda n: F.nullif(n, F.lit(0)))
 
 
 def query_from_patterns(patterns: Column, slope: Column | None = None, max_expansions: Column | None = None) -> Column:
@@ -52,17 +52,20 @@ def query_from_patterns(patterns: Column, slope: Column | None = None, max_expan
     none = F.lit(None).cast("int")
     slope = none if slope is None else slope.cast("int")
     most = none if max_expansions is None else max_expansions.cast("int")
-    n = F.size(patterns)
-    many = n >= 2
-    return F.when(
-        patterns.isNotNull(),
-        F.struct(
-            F.when(n == 0, "empty").when(n == 1, "regex").otherwise("regex_phrase").alias("kind"),
-            patterns.alias("patterns"),
-            F.when(many & most.isNotNull(), F.coalesce(slope, F.lit(0))).when(many, slope).alias("slope"),
-            F.when(many, most).alias("max_expansions"),
-        ),
-    )
+
+    def value(ps: Column) -> Column:
+        many = F.size(ps) >= 2
+        return F.when(
+            ps.isNotNull(),
+            F.struct(
+                F.when(F.size(ps) == 0, "empty").when(F.size(ps) == 1, "regex").otherwise("regex_phrase").alias("kind"),
+                ps.alias("patterns"),
+                F.when(many & most.isNotNull(), F.coalesce(slope, F.lit(0))).when(many, slope).alias("slope"),
+                F.when(many, most).alias("max_expansions"),
+            ),
+        )
+
+    return once(patterns, value)
 
 
 def regex_phrase(c: Column, syllables, slope: int | None = None, max_expansions: int | None = None, generated_pinyin: bool | None = False) -> Column:

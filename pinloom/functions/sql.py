@@ -1,55 +1,40 @@
-"""SQL names for the functions, as temporary SQL functions whose bodies stay open to the optimiser.
+"""SQL names for the functions, for the session.
 
-SQL has no overloading by type, so token arrays have a name of their own, and each registration binds
-one dictionary (base or overlay). Register again after a dictionary edit.
+Romanizers are registered as the operators' Arrow functions, so their plans hold no dictionary; the others are
+temporary SQL functions whose bodies stay open to the optimiser. SQL has no overloading by type, so token arrays
+have a name of their own, and each registration binds one dictionary (base or overlay). Register again
+after a dictionary edit.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..dictionary import Dictionary, Registry
+from ..dictionary import Registry
 from . import text as tx
 
+#: SQL names of romanizers, and the operators' names.
+ROMANIZERS = {
+    "romanize2text": "romanize2text", "romanize2array": "romanize2array", "characters2romanize": "characters2romanize",
+    "icu_romanize_tokens": "romanize_tokens_all", "pinyin_char_romanize": "char_romanize", "pinyin_word_romanize": "word_romanize",
+    "pinyin_word_romanize_tokens": "word_romanize_tokens",
+}
+
 
 def quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fold(tokens: str, d: Dictionary, fallback: str) -> str:
-    """Greedy longest words over an array of tokens; ``t`` is a token and ``i`` its place. As in the operator."""
-    tries = [f"concat('001', {d.word_first.sql('t')})"]
-    for n in d.span_lengths:
-        text = f"CASE WHEN size(slice(toks, i + 1, {n})) = {n} THEN array_join(slice(toks, i + 1, {n}), '') END"
-        tries.append(f"concat('{n:03d}', {d.span_first.sql(text)})")
-    at = f"transform(toks, (t, i) -> coalesce({', '.join(tries)}, concat('001', {fallback})))"
-    walk = (
-        f"aggregate({at}, struct(CAST(array() AS ARRAY<STRING>) AS out, 0 AS skip), (acc, x) -> CASE WHEN acc.skip > 0 THEN struct(acc.out AS out, acc.skip - 1 AS skip) "
-        "ELSE struct(concat(acc.out, array(substring(x, 4))) AS out, CAST(substring(x, 1, 3) AS INT) - 1 AS skip) END, acc -> array_join(acc.out, ' '))"
-    )
-    return f"get(transform(array({tokens}), toks -> {walk}), 0)"
-
-
 def register(spark: SparkSession, registry: Registry, suffix: str | None = None, prefix: str = "") -> list[str]:
     """Registers the functions under their names, after ``prefix``, and returns the names."""
+    from ..operators.romanize import FUNCTIONS
+
     d = registry.dictionary(suffix)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    low = lambda t: f"translate({t}, '{upper}', '{upper.lower()}')"
-    ascii_word = lambda t: f"{t} RLIKE '^[0-9A-Za-z]+$'"
+    for name, operator in ROMANIZERS.items():
+        spark.udf.register(f"{prefix}{name}", FUNCTIONS[operator](d))
     split = quoted("(?s)([0-9A-Za-z]+|.)")
-    words = quoted(f"([0-9A-Za-z]+|[^0-9A-Za-z{tx.WHITE_SPACE}])")
-    one = quoted("(?s)(.)")
-    syllables = lambda z: quoted(tx.syllable_pattern(d.syllables, z))
+    syllables = lambda z: quoted(tx.syllable_tree(d.syllables, z))
     initials = ", ".join(quoted(t) for t, k in sorted(d.tokens.items()) if k == 2)
-    first, every, word_every = d.first.sql, d.readings.sql, d.word_readings.sql
-    text = f"regexp_replace(array_join(transform(regexp_extract_all(input, {split}, 1), t -> CASE WHEN {ascii_word('t')} OR {every('t')} IS NOT NULL THEN t ELSE ' ' END), ''), ' +', ' ')"
-    array = f"CASE WHEN {text} = '' THEN array('') ELSE regexp_extract_all({text}, {split}, 1) END"
-    mapped = f"transform(filter(regexp_extract_all(input, {words}, 1), t -> {ascii_word('t')} OR {first('t')} IS NOT NULL), t -> CASE WHEN {ascii_word('t')} THEN {low('t')} ELSE t END)"
-    chars = lambda f: f"array_join(transform(regexp_extract_all(t, {one}, 1), ch -> coalesce({f('ch')}, ch)), ' ')"
-    phrase = quoted(f"^[^0-9A-Za-z{tx.WHITE_SPACE}]+$")
-    fallback = f"CASE WHEN {ascii_word('t')} THEN {low('t')} WHEN length(t) = 1 THEN coalesce({first('t')}, t) WHEN t RLIKE {phrase} THEN {chars(first)} ELSE t END"
-    trim = quoted(f"^[{tx.WHITE_SPACE}]+|[{tx.WHITE_SPACE}]+$")
-    listed = f"transform(filter(transform(tokens, t -> regexp_replace(t, {trim}, '')), t -> t <> ''), t -> CASE WHEN {ascii_word('t')} THEN {low('t')} ELSE t END)"
     found = lambda c, z: f"CASE WHEN {z} THEN regexp_extract_all(lower({c}), {syllables(True)}, 1) ELSE regexp_extract_all(lower({c}), {syllables(False)}, 1) END"
     run, closed, opened = quoted(r"([\p{IsAlphabetic}\p{Nd}_]+)"), quoted(r"\\S*\\\|$1\\\|\\S*"), quoted(r"\\S*\\\|$1[^\\\|]*\\\|\\S*")
     parts = found("input", "include_zhchsh")
@@ -57,13 +42,6 @@ def register(spark: SparkSession, registry: Registry, suffix: str | None = None,
     letters = quoted(r"\A[A-Za-z \t\n\x0B\f\r]+\z")
     made = {
         "pinyin_split_tokens": ("input STRING", "ARRAY<STRING>", f"regexp_extract_all(input, {split}, 1)"),
-        "romanize2text": ("input STRING", "STRING", text),
-        "romanize2array": ("input STRING", "ARRAY<STRING>", array),
-        "characters2romanize": ("input STRING", "STRING", f"coalesce({word_every('input')}, array_join(transform({array}, t -> coalesce({every('t')}, concat('|', t, '|'))), ' '))"),
-        "icu_romanize_tokens": ("tokens ARRAY<STRING>", "STRING", f"CASE WHEN size(tokens) > 0 THEN array_join(transform(tokens, t -> coalesce({word_every('t')}, {chars(every)})), ' ') END"),
-        "pinyin_char_romanize": ("input STRING", "STRING", f"array_join(filter(transform(regexp_extract_all(input, {words}, 1), t -> CASE WHEN {ascii_word('t')} THEN {low('t')} ELSE {first('t')} END), t -> t IS NOT NULL), ' ')"),
-        "pinyin_word_romanize": ("input STRING", "STRING", _fold(mapped, d, fallback)),
-        "pinyin_word_romanize_tokens": ("tokens ARRAY<STRING>", "STRING", _fold(listed, d, fallback)),
         "pinyin_tokenize": ("input STRING, include_zhchsh BOOLEAN DEFAULT false", "ARRAY<STRING>", parts),
         "pinyin_search": ("input STRING, is_full BOOLEAN DEFAULT false, anchored BOOLEAN DEFAULT false", "STRING", f"concat(CASE WHEN anchored THEN '^' ELSE '' END, CASE WHEN is_full THEN regexp_replace(input, {run}, {closed}) ELSE regexp_replace(input, {run}, {opened}) END)"),
         "pinyin_isearch": ("input STRING, anchored BOOLEAN DEFAULT false, include_zhchsh BOOLEAN DEFAULT false", "STRING", f"CASE WHEN size({parts}) > 0 THEN concat(CASE WHEN anchored THEN '^' ELSE '' END, array_join({each}, ' ')) END"),
@@ -72,4 +50,4 @@ def register(spark: SparkSession, registry: Registry, suffix: str | None = None,
     for name, (args, kind, body) in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({args}) RETURNS {kind} RETURN {body}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}pinyin_tokens_of(input STRING) RETURNS TABLE (token STRING, ord BIGINT) RETURN SELECT col, pos + 1 FROM posexplode(regexp_extract_all(input, {split}, 1)) AS t(pos, col)")
-    return [*(f"{prefix}{n}" for n in made), f"{prefix}pinyin_tokens_of"]
+    return [*(f"{prefix}{n}" for n in (*ROMANIZERS, *made)), f"{prefix}pinyin_tokens_of"]

@@ -49,8 +49,29 @@ def syllable_pattern(syllables, include_zhchsh: bool) -> str:
     return "(" + "|".join([*map(re.escape, sorted(tokens, key=lambda t: (-len(t), t))), "[a-z]"]) + ")"
 
 
+def _tree(tails: set[str]) -> str:
+    """A pattern of the longest of ``tails``, which share no more than they must: each letter is looked at once."""
+    heads: dict[str, set[str]] = {}
+    for t in tails:
+        if t:
+            heads.setdefault(t[0], set()).add(t[1:])
+    parts = [re.escape(c) + (_tree(rest) if rest != {""} else "") for c, rest in sorted(heads.items())]
+    return ("(?:" + "|".join(parts) + ")" if len(parts) > 1 or "" in tails else parts[0]) + ("?" if "" in tails else "")
+
+
+def syllable_tree(syllables, include_zhchsh: bool) -> str:
+    """What syllable_pattern() matches, as a tree of letters."""
+    tokens = {*syllables, *(("zh", "ch", "sh") if include_zhchsh else ())} - {""}
+    return f"({_tree(tokens)}|[a-z])"
+
+
+def once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once a row, however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def pinyin_tokenize(c: Column, syllables, include_zhchsh: bool = False) -> Column:
     """Greedy longest syllables of the lower-cased text, else single letters; empty without syllables."""
     if not syllables:
         return F.when(c.isNotNull(), F.array().cast("array<string>"))
-    return F.regexp_extract_all(F.lower(c), F.lit(syllable_pattern(syllables, include_zhchsh)), 1)
+    return F.regexp_extract_all(F.lower(c), F.lit(syllable_tree(syllables, include_zhchsh)), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +56,58 @@ def piped_matches(piped: Column, pattern: Column) -> Column:
     return F.call_function("rlike", piped, pattern)
 
 
+#: Letters of a pattern's start that joins compare; longer starts are compared in full afterwards.
+START = 8
+#: Queries of other forms that one pass over the texts tries, as a broadcast.
+BLOCK = 10_000
+_PREFIX = r"^([0-9a-z]+)\.\*$"
+
+
+def _starts(term: Column) -> Column:
+    """The first 1 to START characters of a term."""
+    return F.transform(F.sequence(F.lit(1), F.least(F.length(term), F.lit(START))), lambda n: F.substring(term, F.lit(1), n))
+
+
+def _prefixes(patterns: Column) -> Column:
+    """The starts that patterns of the form ``start.*`` ask for; null if any has another form."""
+    found = F.transform(patterns, lambda p: F.nullif(F.regexp_extract(p, _PREFIX, 1), F.lit("")))
+    return F.when(~F.exists(found, lambda p: p.isNull()) & (F.size(found) > 0), found)
+
+
+def _phrase_at(terms: Column, starts: Column) -> Column:
+    """Whether neighbouring terms begin with ``starts``, in order."""
+    last = F.size(terms) - F.size(starts)
+    at = lambda i: F.forall(F.zip_with(F.slice(terms, i + 1, F.size(starts)), starts, lambda t, p: F.startswith(t, p)), lambda x: x)
+    return F.when(last >= 0, F.exists(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(False)
+
+
+def _in_blocks(left: DataFrame, queries: DataFrame, condition: Column) -> DataFrame:
+    """Joins by a condition that holds no equality: ``queries``, once each, are broadcast BLOCK by BLOCK."""
+    n = -(-queries.count() // BLOCK)
+    blocks = [left.join(F.broadcast(queries.where(F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(n)) == i)), condition) for i in range(n)]
+    return reduce(DataFrame.unionByName, blocks) if blocks else left.join(queries, F.lit(False))
+
+
 def search_counts(docs: DataFrame, queries: DataFrame, text: str = "pinyin", query: str = "query", id_: str = "id") -> DataFrame:
     """(id, hits) for each row of ``queries``: each distinct query runs once over the distinct texts.
 
-    Texts are counted first, map-side, so repeated ones are matched once. Distinct queries, the small
-    side of the search, are broadcast by Spark if they are small, and counts combine map-side.
+    Texts are counted first, map-side, so repeated ones are matched once. A query of starts of terms joins
+    the texts that have a term with its longest start, an equi-join; the phrase is then verified, and counts
+    combine map-side. Queries with other patterns are few and tried on each text, in blocks.
     """
     texts = docs.groupBy(F.col(text).alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
-    once = queries.select(F.to_json(query).alias("__key"), F.col(query).alias("__q")).dropDuplicates(["__key"])
-    hits = texts.join(once, matches(F.col("__text"), F.col("__q"), gaps=False), "inner").groupBy("__key").agg(F.sum("__n").alias("hits"))
+    every = queries.select(F.to_json(query).alias("__key"), F.col(query).alias("__q")).dropDuplicates(["__key"])
+    once = every.where("__q.kind <> 'empty'").select("__key", "__q", _prefixes(F.col("__q.patterns")).alias("__p"))
+    longest = F.array_max(F.transform("__p", lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    asked = once.where("__p is not null").select("__key", "__p", F.substring(longest, 1, START).alias("__start"))
+    split = texts.where(F.col("__text").isNotNull()).select("__n", F.split("__text", " ").alias("__t"))
+    starts = F.flatten(F.transform(F.filter("__t", lambda t: t != ""), _starts))
+    begun = split.select("__t", "__n", F.explode(F.array_distinct(starts)).alias("__start"))
+    hits = begun.join(asked, "__start").where(_phrase_at(F.col("__t"), F.col("__p"))).groupBy("__key").agg(F.sum("__n").alias("hits"))
+    other = once.where("__p is null").select("__key", "__q")
+    if not other.isEmpty():
+        tried = _in_blocks(texts, other, matches(F.col("__text"), F.col("__q"), gaps=False))
+        hits = hits.unionByName(tried.groupBy("__key").agg(F.sum("__n").alias("hits")))
     keyed = queries.select(id_, F.to_json(query).alias("__key"))
     return keyed.join(hits, "__key", "left").select(id_, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
@@ -73,10 +118,18 @@ def postings(docs: DataFrame, text: str = "pinyin", id_: str = "id") -> DataFram
 
 
 def search_postings(index: DataFrame, queries: DataFrame, query: str = "query", id_: str = "id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id) of phrase matches by equi-joins: patterns are expanded over the vocabulary, then terms join postings."""
+    """(query_id, id) of phrase matches by equi-joins: patterns are expanded over the vocabulary by their starts, then terms join postings."""
     parts = queries.select(query_id, F.size(f"{query}.patterns").alias("n"), F.posexplode(f"{query}.patterns").alias("i", "p"))
     words = index.select("term").distinct()
-    wanted = words.join(parts.select("p").distinct(), F.call_function("rlike", F.col("term"), F.concat(F.lit("^(?:"), _term(F.col("p")), F.lit(")$"))))
+    asked = parts.select("p").distinct().withColumn("start", F.get(_prefixes(F.array("p")), F.lit(0)))
+    begun = words.select("term", F.explode(_starts(F.col("term"))).alias("__start"))
+    wanted = (
+        begun.join(asked.where("start is not null").withColumn("__start", F.substring("start", 1, START)), "__start")
+        .where(F.startswith("term", "start")).select("term", "p")
+    )
+    other = asked.where("start is null").select("p")
+    if not other.isEmpty():
+        wanted = wanted.unionByName(_in_blocks(words, other, F.call_function("rlike", F.col("term"), F.concat(F.lit("^(?:"), _term(F.col("p")), F.lit(")$")))).select("term", "p"))
     hits = parts.join(wanted, "p").join(index, "term").select(query_id, id_, "n", "i", (F.col("pos") - F.col("i")).alias("start"))
     full = hits.groupBy(query_id, id_, "start", "n").agg(F.count_distinct("i").alias("k")).where("k = n")
     return full.select(query_id, id_).distinct()

@@ -1,4 +1,7 @@
-"""Romanization of text and token columns, row by row without shuffles or Python workers.
+"""Romanization of text and token columns, row by row without shuffles or joins.
+
+Each function runs a kernel over Arrow batches (Spark's Arrow functions); distinct texts of a batch are romanized
+once. The dictionary is broadcast once a session, whatever its size, so plans stay small.
 
 ``first reading`` functions give lower-case romanization without pipes; ``all readings`` functions
 keep the dictionary's piped values. Null input gives null.
@@ -6,92 +9,102 @@ keep the dictionary's piped values. Null input gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..dictionary import Dictionary
-from ..functions.text import ascii_lower, is_ascii_word, is_han_phrase, split_tokens, trim_white_space, word_tokens
+from ..functions import kernels
+from ..shipping import ship_package
 
-_CHARACTERS = r"(?s)(.)"
 
+def _shared(d: Dictionary, name: str, make: Callable[[], object]):
+    """The broadcast kernel of a dictionary, kept with it for the session."""
+    spark = SparkSession.getActiveSession()
+    key = (spark.sparkContext.applicationId, name)
+    if key not in d.shared:
+        ship_package(spark)
+        d.shared[key] = spark.sparkContext.broadcast(make())
+    return d.shared[key]
 
-def _mapped_tokens(c: Column, d: Dictionary) -> Column:
-    """Lower-cased ASCII runs and mapped characters; all else only separates."""
-    kept = F.transform(word_tokens(c), lambda t: F.when(is_ascii_word(t), ascii_lower(t)).when(d.first.has(t), t))
-    return F.filter(kept, lambda t: t.isNotNull())
 
+def _of_texts(kernel, method: str, kind: str):
+    """An Arrow function of a text column."""
+    out = pa.list_(pa.string()) if kind.startswith("array") else pa.string()
 
-def char_romanize(c: Column, d: Dictionary) -> Column:
-    """First readings of mapped characters and lower-cased ASCII runs, joined by spaces."""
-    read = F.transform(word_tokens(c), lambda t: F.when(is_ascii_word(t), ascii_lower(t)).otherwise(d.first(t)))
-    return F.array_join(F.filter(read, lambda t: t.isNotNull()), " ")
+    def run(texts: pa.Array) -> pa.Array:
+        f = getattr(kernel.value, method)
+        once = texts.dictionary_encode()
+        return pa.array([f(t) for t in once.dictionary.to_pylist()], out).take(once.indices)
+
+    return F.arrow_udf(run, kind)
+
+
+def _of_tokens(kernel, method: str):
+    """An Arrow function of a column of token arrays."""
 
+    def run(tokens: pa.Array) -> pa.Array:
+        f = getattr(kernel.value, method)
+        return pa.array([None if t is None else f(t) for t in tokens.to_pylist()], pa.string())
 
-def _fallback(t: Column, d: Dictionary) -> Column:
-    each = F.transform(F.regexp_extract_all(t, F.lit(_CHARACTERS), 1), lambda ch: F.coalesce(d.first(ch), ch))
-    return (
-        F.when(is_ascii_word(t), ascii_lower(t)).when(F.length(t) == 1, F.coalesce(d.first(t), t))
-        .when(is_han_phrase(t), F.array_join(each, " ")).otherwise(t)
-    )
+    return F.arrow_udf(run, "string")
 
 
-def _greedy(tokens: Column, d: Dictionary) -> Column:
-    """Words over tokens: a token's own entry first, else the longest span of single characters, else its characters.
+def _characters(d: Dictionary):
+    return _shared(d, "characters", lambda: kernels.Characters(d.mapping))
 
-    Every position's best span is found first, as three digits of its length and its reading; a fold
-    then walks from span to span. The tokens are bound once, as a lambda's variable.
-    """
 
-    def walk(toks: Column) -> Column:
-        def at(t: Column, i: Column) -> Column:
-            tries = [F.concat(F.lit("001"), d.word_first(t))] if d.words else []
-            for n in d.span_lengths:
-                # A span's entry holds single characters only, so equal text means that its n tokens do.
-                span = F.slice(toks, i + 1, n)
-                tries.append(F.concat(F.lit(f"{n:03d}"), d.span_first(F.when(F.size(span) == n, F.array_join(span, "")))))
-            return F.coalesce(*tries, F.concat(F.lit("001"), _fallback(t, d)))
+def _words(d: Dictionary):
+    return _shared(d, "words", lambda: kernels.Words(d.mapping, d.words))
 
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("skip"))
-        step = lambda acc, x: F.when(
-            acc["skip"] > 0, F.struct(acc["out"].alias("out"), (acc["skip"] - 1).alias("skip"))
-        ).otherwise(F.struct(F.concat(acc["out"], F.array(F.substring(x, 4, 1 << 30))).alias("out"), (F.substring(x, 1, 3).cast("int") - 1).alias("skip")))
-        return F.aggregate(F.transform(toks, at), start, step, lambda acc: F.array_join(acc["out"], " "))
 
-    return F.get(F.transform(F.array(tokens), walk), F.lit(0))
+def _readings(d: Dictionary):
+    return _shared(d, "readings", lambda: kernels.Readings(d.mapping, d.words))
+
+
+#: The functions by name: what each makes of a dictionary is an Arrow function of one column.
+FUNCTIONS: dict[str, Callable[[Dictionary], Callable[[Column], Column]]] = {
+    "char_romanize": lambda d: _of_texts(_characters(d), "__call__", "string"),
+    "word_romanize": lambda d: _of_texts(_words(d), "__call__", "string"),
+    "word_romanize_tokens": lambda d: _of_tokens(_words(d), "tokens"),
+    "romanize2text": lambda d: _of_texts(_readings(d), "text", "string"),
+    "romanize2array": lambda d: _of_texts(_readings(d), "array", "array<string>"),
+    "characters2romanize": lambda d: _of_texts(_readings(d), "__call__", "string"),
+    "romanize_tokens_all": lambda d: _of_tokens(_readings(d), "tokens"),
+}
+
+
+def char_romanize(c: Column, d: Dictionary) -> Column:
+    """First readings of mapped characters and lower-cased ASCII runs, joined by spaces."""
+    return FUNCTIONS["char_romanize"](d)(c)
 
 
 def word_romanize(c: Column, d: Dictionary) -> Column:
     """Greedy longest words, then characters. Separators between characters don't break words."""
-    return _greedy(_mapped_tokens(c, d), d)
+    return FUNCTIONS["word_romanize"](d)(c)
 
 
 def word_romanize_tokens(tokens: Column, d: Dictionary) -> Column:
     """As word_romanize for an array of tokens, where unmapped characters stay. A null token is an error."""
-    sure = F.transform(tokens, lambda t: F.coalesce(t, F.raise_error(F.lit("a token is null")).cast("string")))
-    trimmed = F.filter(F.transform(sure, trim_white_space), lambda t: t != "")
-    return _greedy(F.transform(trimmed, lambda t: F.when(is_ascii_word(t), ascii_lower(t)).otherwise(t)), d)
+    return FUNCTIONS["word_romanize_tokens"](d)(tokens)
 
 
 def romanize2text(c: Column, d: Dictionary) -> Column:
     """Keeps ASCII runs and mapped characters; each stretch of anything else becomes one space."""
-    kept = F.transform(split_tokens(c), lambda t: F.when(is_ascii_word(t) | d.readings.has(t), t).otherwise(" "))
-    return F.regexp_replace(F.array_join(kept, ""), " +", " ")
+    return FUNCTIONS["romanize2text"](d)(c)
 
 
 def romanize2array(c: Column, d: Dictionary) -> Column:
-    found = split_tokens(romanize2text(c, d))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    return FUNCTIONS["romanize2array"](d)(c)
 
 
 def characters2romanize(c: Column, d: Dictionary) -> Column:
     """All readings, piped: the whole text's word entry, else each token's; unmapped tokens in pipes."""
-    pipe = F.lit("|")
-    each = F.transform(romanize2array(c, d), lambda t: F.coalesce(d.readings(t), F.concat(pipe, t, pipe)))
-    return F.coalesce(d.word_readings(c), F.array_join(each, " "))
+    return FUNCTIONS["characters2romanize"](d)(c)
 
 
 def romanize_tokens_all(tokens: Column, d: Dictionary) -> Column:
     """All readings of tokens: a token's word entry, else each character's or the character; null for no tokens."""
-    each = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_CHARACTERS), 1), lambda ch: F.coalesce(d.readings(ch), ch)), " ")
-    out = F.transform(F.filter(tokens, lambda t: t.isNotNull()), lambda t: F.coalesce(d.word_readings(t), each(t)))
-    return F.when(F.size(out) > 0, F.array_join(out, " "))
+    return FUNCTIONS["romanize_tokens_all"](d)(tokens)

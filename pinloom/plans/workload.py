@@ -34,6 +34,25 @@ def bench_registry(spark: SparkSession) -> Registry:
     return registry
 
 
+def large_dictionary(characters: int = 20_902, words: int = 100_000) -> tuple[dict[str, str], dict[str, str]]:
+    """A mapping and words of the size that real ones have, by rule: readings go round the syllables."""
+    syllables = [t for t, k in standard_tokens().items() if k == 1]
+    of = lambda i: chr(0x4E00 + i % characters)
+    reading = lambda i: syllables[i % characters % len(syllables)]
+    mapping = {" ": " "} | {of(i): f"|{reading(i)}|{reading(i + 7)}|" if i % 5 == 0 else f"|{reading(i)}|" for i in range(characters)}
+    parts = [[i * 31 + 1 + k * (k + 17 + i % 97) for k in range(2 + i % 3)] for i in range(words)]
+    return mapping, {"".join(map(of, p)): " ".join(f"|{reading(x + 3)}|" for x in p) for p in parts}
+
+
+def large_names(spark: SparkSession, n: int) -> DataFrame:
+    """Names of the large dictionary's characters: each a word of it, a character, another word and sometimes an ASCII tail."""
+    i = F.col("id")
+    code = lambda x: F.decode(F.unhex(F.lpad(F.hex(x % 20_902 + 0x4E00), 8, "0")), "utf-32")
+    word = lambda w: F.concat(*(F.when(k < 2 + w % 3, code(w * 31 + 1 + k * (k + 17 + w % 97))).otherwise("") for k in map(F.lit, range(4))))
+    tail = F.when(i % 5 == 0, "ABC").otherwise("")
+    return spark.range(1, n + 1).select("id", F.concat(word(i * 7 % 100_000), code(i * 13), word(i * 11 % 100_000), tail).alias("name"))
+
+
 def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 

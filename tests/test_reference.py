@@ -170,19 +170,65 @@ def test_token_checksum(spark):
     assert rows.agg(wl.token_checksum(F.col("p"))).first()[0] == 219996
 
 
-def test_plans_stay_in_the_jvm(spark, registry):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, registry):
+    """Romanizers add no shuffle, no join and no dictionary to a plan; searches join by equality."""
     d = registry.dictionary()
-    df = spark.range(10).select(F.col("id").cast("string").alias("v")).select(rm.word_romanize(F.col("v"), d), rm.char_romanize(F.col("v"), d))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))
+    rows = spark.range(10).select(F.col("id").cast("string").alias("v"))
+    plan = plan_of(rows.select(rm.word_romanize(F.col("v"), d), rm.char_romanize(F.col("v"), d)))
+    assert not any(x in plan for x in ("Exchange", "Join", "郑")) and "ArrowEvalPython" in plan
+    docs = rows.select(F.col("v").alias("id"), F.lit("zheng shuang").alias("pinyin"))
+    asked = rows.select(F.col("v").alias("id"), F.col("v").alias("query_id"), pt.regex_phrase(F.col("v"), d.syllables).alias("query"))
+    for found in (match.search_counts(docs, asked), match.search_postings(match.postings(docs), asked)):
+        plan = plan_of(found)
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_searches_against_all_pairs(spark):
+    """Counts and postings of starts, of other patterns and of empty queries, against each text by itself."""
+    import re
+
+    rng = random.Random(4)
+    terms = ["zheng", "zhong", "shuang", "wang", "w", "a.b", "zhengshuangwang", "zhengshuangx", "xian"]
+    texts = [" ".join(rng.choice(terms) for _ in range(rng.randrange(0, 5))) for _ in range(60)] + [None, "", " ", "zheng  shuang"]
+    patterns = [[], ["zheng.*"], ["zh.*", "sh.*"], ["w.*", "w.*"], ["zhengshuangw.*"], ["zhengshuang.*", "x.*"], [".*n.*"], ["z.*", ".*g"], ["none.*"]]
+    kind = lambda p: "empty" if not p else "regex" if len(p) == 1 else "regex_phrase"
+    docs = spark.createDataFrame(enumerate(texts), "id long, pinyin string")
+    asked = spark.createDataFrame([(i % 20, (kind(p), p, None, None)) for i, p in enumerate(patterns * 2)], f"id long, query {pt.QUERY_TYPE}").withColumn("query_id", F.col("id"))
+
+    def hits(p, t):
+        parts = [x for x in (t or "").split(" ") if x]
+        at = lambda i: len(parts) >= i + len(p) and all(re.fullmatch(x.replace(".*", "[^ ]*"), y) for x, y in zip(p, parts[i:]))
+        return bool(p) and any(map(at, range(len(parts))))
+
+    got = match.search_counts(docs.where("id < 60"), asked).collect()
+    assert sorted((r.id, r.hits) for r in got) == sorted((i, sum(hits(p, t) for t in texts[:60])) for i, p in enumerate(patterns * 2))
+    found = match.search_postings(match.postings(docs), asked).collect()
+    assert {(r.query_id, r.id) for r in found} == {(i, k) for i, p in enumerate(patterns * 2) for k, t in enumerate(texts) if hits(p, t)}
+
+
+def test_syllable_tree():
+    import re
+
+    syllables = [t for t, k in standard_tokens().items() if k == 1]
+    rng = random.Random(1)
+    for tokens in (syllables, ["a"], ["ab", "a", "abcd"], TOKENS):
+        for z in (False, True):
+            plain, tree = (re.compile(f(tokens, z)) for f in (tx.syllable_pattern, tx.syllable_tree))
+            for _ in range(300):
+                text = "".join(rng.choice("zhcsangioueyw x") for _ in range(rng.randrange(0, 20)))
+                assert tree.findall(text) == plain.findall(text)
 
 
-def model(text, mapping, words):
+def model(text, mapping, words, longest=None):
     """Word romanization in plain Python."""
     import re
 
     toks = [t.lower() if t[0].isascii() and t[0].isalnum() else t for t in re.findall(r"[0-9A-Za-z]+|[^0-9A-Za-z\s]", text) if (t[0].isascii() and t[0].isalnum()) or t in mapping]
-    longest, out, i = max(map(len, words), default=0), [], 0
+    longest, out, i = max(map(len, words), default=0) if longest is None else longest, [], 0
     han = lambda t: len(t) == 1 and not (t.isascii() and t.isalnum())
     while i < len(toks):
         best = None
@@ -210,6 +256,24 @@ def test_word_romanize_against_model(spark, texts, seed):
     assert got == [model(t, mapping, words) for t in texts]
 
 
+def test_dictionary_of_real_size(spark):
+    """20,902 characters and 100,000 words, by columns and by SQL, against the model."""
+    mapping, words = wl.large_dictionary()
+    registry = Registry.of(spark, mapping, TOKENS, words)
+    d = registry.dictionary()
+    assert len(d.mapping) == 20_903 and len(d.words) > 90_000
+    rows = wl.large_names(spark, 2000).select("name", rm.word_romanize(F.col("name"), d).alias("word"), rm.char_romanize(F.col("name"), d).alias("char")).collect()
+    longest = max(map(len, words))
+    for r in rows:
+        assert r.word == model(r["name"], mapping, words, longest)
+        assert r["char"] == model(r["name"], mapping, {}, 0)
+    assert sum(r.word != r["char"] for r in rows) > 1000
+    names = sql.register(spark, registry, prefix="large_")
+    assert "large_pinyin_word_romanize" in names
+    wl.large_names(spark, 100).createOrReplaceTempView("large_names")
+    assert [r[0] for r in spark.sql("SELECT large_pinyin_word_romanize(name) FROM large_names ORDER BY id").collect()] == [r.word for r in rows[:100]]
+
+
 def test_sql_functions(spark, registry):
     names = sql.register(spark, registry)
     assert len(names) == len(set(names)) == 13
