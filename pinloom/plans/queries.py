@@ -6,17 +6,18 @@ over documents and parts. The SQL inlines the fixture dictionaries.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..dictionary import Dictionary, first_readings, standard_tokens
+from ..dictionary import MAPPING_SCHEMA, Dictionary, Registry, first_readings, standard_tokens
 from ..functions import patterns as pt
 from ..functions import text as tx
 from ..operators import match, tables
 from ..operators import romanize as rm
-from ..sources import prep
+from ..sources import files, prep
 from . import workload as wl
 
 STANDARD = standard_tokens()
@@ -297,63 +298,148 @@ def token_checksum(spark, sf_dir):
     return _typed(spark, sf_dir).agg(wl.token_checksum(pt.regex_phrase_patterns(F.col("query"), SYLLABLES)).alias("checksum"))
 
 
-def _values(entries: dict[str, str], a: str, b: str) -> str:
-    return f"(SELECT * FROM (VALUES {', '.join(f'({_quoted(k)}, {_quoted(v)})' for k, v in entries.items())}) AS v({a}, {b}))"
+# Dictionary tables of the data's size: keys and readings derive from customers, edits from suppliers and parts.
+_BASE_SQL = "base AS (SELECT 'k' || c_custkey AS character, '|a' || c_custkey % 7 || '|' AS pinyin FROM customer)"
+_EDITS_SQL = "edits AS (SELECT 'k' || s_suppkey * 13 AS character, '|b' || s_suppkey % 5 || '|' AS pinyin FROM supplier)"
 
 
-def _mapping_df(spark, entries) -> DataFrame:
-    return spark.createDataFrame(list(entries.items()), "character string, pinyin string")
+def _base(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), k).alias("character"), F.concat(F.lit("|a"), k % 7, F.lit("|")).alias("pinyin"))
 
 
-_EDITS = wl.OVERLAY_MAPPING | {"新": "|xin|"}
+def _edits(spark, sf_dir) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), k * 13).alias("character"), F.concat(F.lit("|b"), k % 5, F.lit("|")).alias("pinyin"))
 
 
-@_query("overlay_merge", f"SELECT coalesce(o.character, b.character) AS character, coalesce(o.pinyin, b.pinyin) AS pinyin FROM {_values(_BENCH, 'character', 'pinyin')} b FULL JOIN {_values(_EDITS, 'character', 'pinyin')} o ON b.character = o.character")
+_ABSENT = "SELECT x.character, x.pinyin FROM {0} x WHERE NOT EXISTS (SELECT 1 FROM {1} y WHERE y.character = x.character)"
+
+
+@_query("overlay_merge", f"WITH {_BASE_SQL}, {_EDITS_SQL} SELECT coalesce(o.character, b.character) AS character, coalesce(o.pinyin, b.pinyin) AS pinyin FROM base b FULL JOIN edits o ON b.character = o.character")
 def overlay_merge(spark, sf_dir):
-    return tables.overlay_merge(_mapping_df(spark, _BENCH), _mapping_df(spark, _EDITS), "character")
+    return tables.overlay_merge(_base(spark, sf_dir), _edits(spark, sf_dir), "character")
 
 
-@_query("dictionary_upsert", f"SELECT * FROM {_values(_BENCH | _EDITS, 'character', 'pinyin')}")
+@_query("dictionary_upsert", f"WITH {_BASE_SQL}, {_EDITS_SQL} SELECT * FROM edits UNION ALL {_ABSENT.format('base', 'edits')}")
 def dictionary_upsert(spark, sf_dir):
-    return tables.upsert(_mapping_df(spark, _BENCH), _mapping_df(spark, _EDITS), "character")
+    return tables.upsert(_base(spark, sf_dir), _edits(spark, sf_dir), "character")
 
 
-@_query("insert_if_absent", f"SELECT * FROM {_values(_EDITS | _BENCH, 'character', 'pinyin')}")
+@_query("insert_if_absent", f"WITH {_BASE_SQL}, {_EDITS_SQL} SELECT * FROM base UNION ALL {_ABSENT.format('edits', 'base')}")
 def insert_if_absent(spark, sf_dir):
-    return tables.insert_if_absent(_mapping_df(spark, _BENCH), _mapping_df(spark, _EDITS), "character")
+    return tables.insert_if_absent(_base(spark, sf_dir), _edits(spark, sf_dir), "character")
 
 
-@_query("token_category_counts", f"SELECT category, count(*) AS tokens FROM (SELECT unnest({_list(map(str, STANDARD.values()))})::INTEGER AS category) GROUP BY category")
-def token_category_counts(spark, sf_dir):
-    rows = spark.createDataFrame(list(STANDARD.items()), "character string, category int")
-    return rows.groupBy("category").agg(F.count("*").alias("tokens"))
+@_query(
+    "dictionary_edits",
+    f"""WITH {_BASE_SQL}, {_EDITS_SQL}, u AS (SELECT * FROM edits UNION ALL {_ABSENT.format('base', 'edits')}),
+d AS (SELECT * FROM u WHERE pinyin <> '|a3|')
+SELECT character, pinyin, 4 AS version FROM d UNION ALL SELECT ' ', ' ', 4 UNION ALL SELECT 'kx', '|new|', 4""",
+)
+def dictionary_edits(spark, sf_dir):
+    """A registry's mapping and version after an upsert, a delete and an insert of a new and an old key."""
+    registry = Registry(spark, _base(spark, sf_dir), spark.createDataFrame([], "character string, category int"))
+    registry.upsert("mapping", _edits(spark, sf_dir))
+    registry.delete("mapping", "pinyin = '|a3|'")
+    registry.insert_if_absent("mapping", spark.createDataFrame([("kx", "|new|"), (" ", "|never|")], MAPPING_SCHEMA))
+    return registry.tables["mapping"].withColumn("version", F.lit(registry.version))
+
 
+@_query(
+    "dictionary_files",
+    f"WITH {_BASE_SQL}, {_EDITS_SQL}, rows AS (SELECT *, 0 AS place FROM base UNION ALL SELECT character, pinyin || '\"' || ',x', 1 FROM edits) SELECT character, arg_max(pinyin, place) AS pinyin FROM rows GROUP BY character",
+)
+def dictionary_files(spark, sf_dir):
+    """A table written as CSV in two files and read again: of a repeated key the later file's row stays."""
+    at = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/pinloom-files-{uuid.uuid4().hex}"
+    edits = _edits(spark, sf_dir).withColumn("pinyin", F.concat("pinyin", F.lit('",x')))
+    files.write_table(_base(spark, sf_dir).coalesce(1), f"{at}/a")
+    files.write_table(edits.coalesce(1), f"{at}/b")
+    return files.read_table(spark, f"{at}/*/*.csv", "mapping")
 
-# Sample lines of a pronunciation source and of a word source.
-CHAR_LINES = ("# header", "U+4E2D: zhōng,zhòng  # 中", "U+6587: wén  # 文", "U+7EFF: lǜ,lù  # 绿", "U+4E2D: zhōng,zhong,zhòng", "not a line", "U+6D4B: cè")
-WORD_LINES = (("中文", "zhongwen"), ("西安", "xi'an"), ("中文", "other"), ("", "x"), ("绿", "lv"), ("乱", "123abc"))
+
+_STALE = {"郑": "|zhengy|"}
 
 
 @_query(
-    "prep_char_map",
-    f"""WITH l AS (SELECT unnest({_list(CHAR_LINES)}) AS line, generate_subscripts({_list(CHAR_LINES)}, 1) AS ord),
+    "overlay_cache",
+    f"""WITH {_NAMES} SELECT id, {_char('name', _OVER_FIRST)} AS merged, {_char('name', _OVER_FIRST)} AS stale, {_char('name', {k: first_readings(v) for k, v in (_BENCH | _STALE).items()})} AS cleared,
+{_char('name', _FIRST)} AS unknown FROM names""",
+)
+def overlay_cache(spark, sf_dir):
+    """Names by an overlay, by the merge that stays after the overlay's edit, after its cache is cleared, and by an unknown overlay."""
+    registry = wl.bench_registry(spark)
+    before = registry.dictionary("bench")
+    registry.set_overlay("__Bench", "mapping", spark.createDataFrame(list(_STALE.items()), MAPPING_SCHEMA))
+    stale = registry.dictionary("_bench")
+    registry.clear_suffix_cache("bench")
+    by = {"merged": before, "stale": stale, "cleared": registry.dictionary("_bench"), "unknown": registry.dictionary("_nosuch")}
+    return _names(spark, sf_dir).select("id", *(rm.char_romanize(F.col("name"), d).alias(k) for k, d in by.items()))
+
+
+_CATEGORIES = f"MAP {{{', '.join(f'{_quoted(t)}: {k}' for t, k in STANDARD.items())}}}"
+
+
+@_query("token_category_counts", f"WITH {_PARTS}, t AS (SELECT unnest({_syllables('name', True)}) AS token FROM parts) SELECT {_CATEGORIES}[token] AS category, count(*) AS tokens FROM t GROUP BY ALL")
+def token_category_counts(spark, sf_dir):
+    """Tokens of part names by their category in the standard dictionary, null for single letters that it lacks."""
+    known = spark.createDataFrame(list(STANDARD.items()), "token string, category int")
+    found = _parts(spark, sf_dir).select(F.explode(tx.pinyin_tokenize(F.col("name"), SYLLABLES, True)).alias("token"))
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(known), "token", "left").groupBy("category").agg(F.sum("n").cast("long").alias("tokens"))
+
+
+# Source lines of the preparation: a code point, two readings with tone marks from a part's name, and lines of other forms.
+_MARKS = ("aeou", "āéǒǜ")
+_LINES_SQL = f"""l AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN '# ' || p_name WHEN p_partkey % 50 = 1 THEN 'U+4E00: 1,2 # none'
+ELSE 'U+' || printf('%X', 19968 + p_partkey % 1500) || ': ' || translate(replace(p_name, ' ', ','), {_quoted(_MARKS[0])}, {_quoted(_MARKS[1])}) || ',' || split_part(p_name, ' ', 1) || '  # note' END AS line FROM part),
 p AS (SELECT ord, chr(('0x' || regexp_extract(line, '^U\\+([0-9A-Fa-f]+):', 1))::INTEGER) AS character, string_split(regexp_extract(line, '^U\\+[0-9A-Fa-f]+:\\s*([^#]*)', 1), ',') AS prons FROM l WHERE regexp_matches(line, '^U\\+[0-9A-Fa-f]+:')),
 x AS (SELECT ord, character, list_transform(prons, lambda t: regexp_replace(strip_accents(lower(trim(t))), '[^a-z]', '', 'g')) AS r FROM p),
-y AS (SELECT character, list_filter(r, lambda t, i: t <> '' AND list_position(r, t) = i) AS r, row_number() OVER (PARTITION BY character ORDER BY ord DESC) AS k FROM x)
-SELECT character, '|' || array_to_string(r, '|') || '|' AS pinyin FROM y WHERE k = 1""",
-)
+z AS (SELECT ord, character, list_filter(r, lambda t, i: t <> '' AND list_position(r, t) = i) AS r FROM x),
+y AS (SELECT character, r, row_number() OVER (PARTITION BY character ORDER BY ord DESC) AS k FROM z WHERE len(r) > 0)"""
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    marked = F.translate(F.replace(name, F.lit(" "), F.lit(",")), *_MARKS)
+    line = F.concat(F.lit("U+"), F.hex(k % 1500 + 19968), F.lit(": "), marked, F.lit(","), F.split_part(name, F.lit(" "), F.lit(1)), F.lit("  # note"))
+    value = F.when(k % 50 == 0, F.concat(F.lit("# "), name)).when(k % 50 == 1, "U+4E00: 1,2 # none").otherwise(line)
+    return _table(spark, sf_dir, "part").select(k.cast("long").alias("ord"), value.alias("value"))
+
+
+@_query("prep_char_map", f"WITH {_LINES_SQL} SELECT character, '|' || array_to_string(r, '|') || '|' AS pinyin FROM y WHERE k = 1")
 def prep_char_map(spark, sf_dir):
-    lines = spark.createDataFrame([(i, x) for i, x in enumerate(CHAR_LINES)], "ord long, value string")
-    return prep.mapping_table(prep.char_map(lines))
+    return prep.mapping_table(prep.char_map(_lines(spark, sf_dir)))
+
 
+_INITIALS = [t for t, k in STANDARD.items() if k == 2]
 
-@_query("prep_tokens", "SELECT * FROM (VALUES ('zhong', 1), ('wen', 1), ('lu', 1), ('ce', 1), " + ", ".join(f"('{t}', 2)" for t, k in STANDARD.items() if k == 2) + ") AS v(character, category)")
+
+@_query(
+    "prep_tokens",
+    f"""WITH {_LINES_SQL}, t AS (SELECT DISTINCT unnest(r) AS character FROM y WHERE k = 1)
+SELECT character, CASE WHEN character IN ('a', 'e', 'o', 'i', 'u') THEN 3 ELSE 1 END AS category FROM t WHERE NOT list_contains({_list(_INITIALS)}, character)
+UNION ALL SELECT unnest({_list(_INITIALS)}), 2""",
+)
 def prep_tokens(spark, sf_dir):
-    lines = spark.createDataFrame([(i, x) for i, x in enumerate(CHAR_LINES)], "ord long, value string")
-    return prep.token_rows(prep.char_map(lines)).select("character", "category")
+    return prep.token_rows(prep.char_map(_lines(spark, sf_dir))).select("character", "category")
+
 
+_PREP_SYLLABLES = [*SYLLABLES, "a", "e", "o"]
+_BY_LENGTH = "|".join(sorted(set(_PREP_SYLLABLES), key=lambda t: (-len(t), t)))
 
-@_query("prep_words", "SELECT * FROM (VALUES ('中文', 'zhong wen', false), ('西安', 'xi an', false), ('绿', 'lv', true), ('乱', '1 2 3abc', true)) AS v(word, pinyin, fallback)")
+
+@_query(
+    "prep_words",
+    f"""WITH w AS (SELECT p_partkey AS ord, ' ' || split_part(p_name, ' ', 1) || p_partkey % 40 || ' ' AS word, CASE p_partkey % 4 WHEN 0 THEN upper(replace(p_name, ' ', '')) WHEN 1 THEN replace(p_name, ' ', '''') WHEN 2 THEN replace(p_name, ' ', '’') || 'u:' ELSE p_name || '12ab' END AS joined FROM part),
+p AS (SELECT ord, trim(word) AS word, regexp_extract_all(replace(replace(replace(lower(trim(joined)), 'u:', 'v'), 'ü', 'v'), '’', ''''), '({_BY_LENGTH}|[^''{_WS}]\\p{{L}}*)') AS parts FROM w),
+f AS (SELECT word, parts, row_number() OVER (PARTITION BY word ORDER BY ord) AS k FROM p WHERE len(parts) > 0)
+SELECT word, array_to_string(parts, ' ') AS pinyin, len(list_filter(parts, lambda t: NOT list_contains({_list(_PREP_SYLLABLES)}, t))) > 0 AS fallback FROM f WHERE k = 1""",
+)
 def prep_words(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(WORD_LINES)], "ord long, word string, joined string")
-    return prep.word_rows(rows, [*SYLLABLES, "a", "e", "o"])
+    k, name = F.col("p_partkey"), F.col("p_name")
+    swap = lambda s: F.replace(name, F.lit(" "), F.lit(s))
+    joined = F.when(k % 4 == 0, F.upper(swap(""))).when(k % 4 == 1, swap("'")).when(k % 4 == 2, F.concat(swap("’"), F.lit("u:"))).otherwise(F.concat(name, F.lit("12ab")))
+    word = F.concat(F.lit(" "), F.split_part(name, F.lit(" "), F.lit(1)), (k % 40).cast("string"), F.lit(" "))
+    return prep.word_rows(_table(spark, sf_dir, "part").select(k.cast("long").alias("ord"), word.alias("word"), joined.alias("joined")), _PREP_SYLLABLES)
