@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.kernels import first_reading, first_readings
 from .operators.tables import insert_if_absent, overlay_merge, upsert
 
-__all__ = ["Dictionary", "Registry", "canonical_suffix", "first_reading", "first_readings", "standard_tokens"]
+__all__ = ["Dictionary", "Registry", "canonical_suffix", "first_reading", "first_readings", "standard_token_table", "standard_tokens"]
 
 MAPPING_SCHEMA = "character string, pinyin string"
 TOKEN_SCHEMA = "character string, category smallint"
@@ -63,6 +63,10 @@ def standard_tokens() -> dict[str, int]:
     return syllables | dict.fromkeys(INITIALS, 2) | dict.fromkeys(VOWELS, 3)
 
 
+def standard_token_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(standard_tokens().items()), TOKEN_SCHEMA)
+
+
 def canonical_suffix(suffix: str | None) -> str | None:
     """None for the base dictionary, else the overlay's name with one leading underscore."""
     name = (suffix or "").strip()
@@ -137,6 +141,26 @@ class Registry:
         self._with_space()
         return True
 
+    def save(self, path: str) -> None:
+        """Writes all tables, overlays and the version as Parquet under ``path``."""
+        for kind, df in self.tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{kind}")
+        for (name, kind), df in self.overlays.items():
+            df.write.mode("overwrite").parquet(f"{path}/overlay_{kind}/name={name}")
+        meta = self.spark.createDataFrame([(True, self.version, [f"{n} {k}" for n, k in self.overlays])], "singleton boolean, version long, overlays array<string>")
+        meta.write.mode("overwrite").parquet(f"{path}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Registry:
+        """What save() wrote, with its version."""
+        read = lambda at, kind: spark.read.schema(SCHEMAS[kind]).parquet(f"{path}/{at}")
+        out = cls(spark, read("mapping", "mapping"), read("token", "token"), read("words", "words"))
+        meta = spark.read.parquet(f"{path}/meta").first()
+        for name, kind in map(str.split, meta["overlays"]):
+            out.set_overlay(name, kind, read(f"overlay_{kind}/name={name}", kind))
+        out.version = meta["version"]
+        return out
+
     def set_overlay(self, suffix: str, kind: str, df: DataFrame) -> None:
         """An overlay of mapping or words. Cached merges stay as they are until cleared."""
         self.overlays[canonical_suffix(suffix), kind] = df

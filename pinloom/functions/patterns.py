@@ -47,6 +47,11 @@ def phrase_token_count(c: Column, syllables) -> Column:
     return once(F.size(regex_phrase_patterns(c, syllables, strict=True)), lambda n: F.nullif(n, F.lit(0)))
 
 
+def token_count(syllables) -> int:
+    """Number of tokens that typed queries are cut into."""
+    return len({*syllables, "zh", "ch", "sh"})
+
+
 def query_from_patterns(patterns: Column, slope: Column | None = None, max_expansions: Column | None = None) -> Column:
     """The query value: empty without patterns, regex for one, regex_phrase for more; null for null."""
     none = F.lit(None).cast("int")

@@ -41,8 +41,8 @@ def _with_gaps(terms: Column, query: Column) -> Column:
 def matches(text: Column, query: Column, gaps: bool = True) -> Column:
     """Whether a column of space-separated terms matches; false for the empty query, null for null.
 
-    With ``gaps`` a positive slope lets that many terms be skipped in order, in all. max_expansions
-    never drops terms: it is carried as a value and has no effect here.
+    With ``gaps`` a positive slope lets that many terms be skipped in order, in all. max_expansions has
+    no effect here, where no terms are expanded; search_postings() checks it.
     """
     plain = F.when(query["kind"] == "empty", F.lit(False)).otherwise(F.call_function("rlike", text, phrase_regex(query)))
     if not gaps:
@@ -118,7 +118,10 @@ def postings(docs: DataFrame, text: str = "pinyin", id_: str = "id") -> DataFram
 
 
 def search_postings(index: DataFrame, queries: DataFrame, query: str = "query", id_: str = "id", query_id: str = "query_id") -> DataFrame:
-    """(query_id, id) of phrase matches by equi-joins: patterns are expanded over the vocabulary by their starts, then terms join postings."""
+    """(query_id, id) of phrase matches by equi-joins: patterns are expanded over the vocabulary by their starts, then terms join postings.
+
+    A query whose patterns expand to more terms than its max_expansions is an error: none are dropped.
+    """
     parts = queries.select(query_id, F.size(f"{query}.patterns").alias("n"), F.posexplode(f"{query}.patterns").alias("i", "p"))
     words = index.select("term").distinct()
     asked = parts.select("p").distinct().withColumn("start", F.get(_prefixes(F.array("p")), F.lit(0)))
@@ -130,6 +133,12 @@ def search_postings(index: DataFrame, queries: DataFrame, query: str = "query",
     other = asked.where("start is null").select("p")
     if not other.isEmpty():
         wanted = wanted.unionByName(_in_blocks(words, other, F.call_function("rlike", F.col("term"), F.concat(F.lit("^(?:"), _term(F.col("p")), F.lit(")$")))).select("term", "p"))
+    capped = queries.where(F.col(f"{query}.max_expansions").isNotNull()).select(query_id, F.col(f"{query}.max_expansions").alias("most")).distinct()
+    if not capped.isEmpty():
+        found = parts.join(wanted.groupBy("p").agg(F.count("term").alias("k")), "p").groupBy(query_id).agg(F.sum("k").alias("k")).join(capped, query_id)
+        over = F.raise_error(F.concat(F.lit("a query expands to "), F.col("k").cast("string"), F.lit(" terms, more than "), F.col("most").cast("string")))
+        found = found.select(query_id, F.when(F.col("k") > F.col("most"), over.cast("boolean")).otherwise(True).alias("fine"))
+        parts = parts.join(found, query_id, "left").where(F.coalesce("fine", F.lit(True))).drop("fine")
     hits = parts.join(wanted, "p").join(index, "term").select(query_id, id_, "n", "i", (F.col("pos") - F.col("i")).alias("start"))
     full = hits.groupBy(query_id, id_, "start", "n").agg(F.count_distinct("i").alias("k")).where("k = n")
     return full.select(query_id, id_).distinct()

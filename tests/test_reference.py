@@ -303,6 +303,41 @@ def test_files_round_trip(spark, registry, tmp_path):
     assert files.load_registry(spark, str(tmp_path / "mapping"), str(tmp_path / "token")).dictionary().words == {}
 
 
+def test_seed_from_files(spark, registry, tmp_path):
+    """CSV files, else all as plain lines with a warning."""
+    write = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    good, words = write("good.csv", '字,|zi|\n"a,b",|c|\n字,|zi2|\n'), write("words.csv", "字字,|zi| |zi|\n")
+    assert files.seed(registry, good, words) is True
+    d = registry.dictionary()
+    assert d.mapping == {"字": "|zi2|", "a,b": "|c|", " ": " "} and d.words == {"字字": "|zi| |zi|"} and d.tokens == standard_tokens()
+    plain, tokens = write("plain.csv", '字,|zi|,x\r\n\n"q,|c|\n字,|last|\n'), write("tokens.csv", "zi,1\nz,2\n")
+    with pytest.warns(UserWarning, match="plain lines"):
+        files.seed(registry, plain, words, tokens)
+    d = registry.dictionary()
+    assert d.mapping == {"字": "|last|", '"q': "|c|", " ": " "} and d.tokens == {"zi": 1, "z": 2}
+    with pytest.raises(Exception, match="no second column"):
+        files.read_plain_table(spark, write("bad.csv", "no comma\n"), "mapping").collect()
+
+
+def test_registry_persists(spark, registry, tmp_path):
+    registry.upsert("mapping", spark.createDataFrame([("新", "|xin|")], "character string, pinyin string"))
+    registry.set_overlay("x", "mapping", spark.createDataFrame([("新", "|sin|")], "character string, pinyin string"))
+    registry.save(str(tmp_path / "store"))
+    again = Registry.load(spark, str(tmp_path / "store"))
+    assert again.version == registry.version == 2
+    for suffix in (None, "_x"):
+        assert again.dictionary(suffix) == registry.dictionary(suffix)
+
+
+def test_max_expansions(spark):
+    docs = spark.createDataFrame([(1, "zhong zheng"), (2, "zhang")], "id long, pinyin string")
+    ask = lambda most: spark.createDataFrame([("q", ("regex", ["zh.*"], None, most))], f"query_id string, query {pt.QUERY_TYPE}")
+    assert match.search_postings(match.postings(docs), ask(3)).count() == match.search_postings(match.postings(docs), ask(None)).count() == 2
+    with pytest.raises(Exception, match="a query expands to 3 terms"):
+        match.search_postings(match.postings(docs), ask(2)).collect()
+    assert pt.token_count([t for t, k in standard_tokens().items() if k == 1]) == 421
+
+
 def test_preparation(spark, tmp_path):
     (tmp_path / "chars.txt").write_text("# x\nU+4E2D: zhōng,zhòng # 中\nU+6587: wén\nU+20000: hē\n\nU+554A: ā,á\n")
     tables = prep.prepare(files.lines_of(spark, str(tmp_path / "chars.txt")), spark.createDataFrame([(0, "中文", "zhongwen"), (1, "中文", "x"), (2, "啊", "q'a")], "ord long, word string, joined string"))
