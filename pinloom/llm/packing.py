@@ -23,6 +23,8 @@ from .common import Scratch, lean, small_batches, table
 from .tokens import END_ID, encode_batches, vocabulary_path
 
 MAX_TOKENS = 4096
+#: Characters encoded together, and words remembered for a task: fewer than for files, as other stages' tables may share the executor.
+TOGETHER, REMEMBERED = 4 << 20, 300_000
 #: Pieces of one packer; the number of packers follows the input.
 PIECES_PER_PACKER = 250_000
 
@@ -76,7 +78,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, max
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for part, encoded in encode_batches(batches, vocabulary, end_id):
+        for part, encoded in encode_batches(batches, vocabulary, end_id, TOGETHER, REMEMBERED, keep=False):
             at, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(encoded):
                 for k, a in enumerate(range(0, max(1, len(ids)), max_tokens)):

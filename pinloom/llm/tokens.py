@@ -24,10 +24,10 @@ from .common import Scratch, lean, small_batches, table
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-#: Words a task remembers; the table starts anew when full (about 150 bytes a word).
-REMEMBERED = 300_000
+#: Words a worker remembers; the table starts anew when full (about 150 bytes a word).
+REMEMBERED = 600_000
 #: Characters encoded in one go: the more, the fewer lookups of frequent words.
-TOGETHER = 4 << 20
+TOGETHER = 6 << 20
 ROWS_PER_FILE = 200_000
 STRIPE_BYTES = 16 << 20
 ROW_INDEX_STRIDE = 2000
@@ -103,15 +103,19 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker process; the words it knows go with each task."""
+    """One encoder for each vocabulary and worker process."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def encode_batches(batches, path: str, end_id: int | None, size: int = TOGETHER):
-    """(slice of a batch, ids of its texts); null counts as empty. About ``size`` characters are encoded together."""
+def encode_batches(batches, path: str, end_id: int | None, size: int = TOGETHER, remembered: int = REMEMBERED, keep: bool = True):
+    """(slice of a batch, ids of its texts); null counts as empty. About ``size`` characters are encoded together.
+
+    The words that are remembered stay for the worker's next task only with ``keep``.
+    """
     enc = encoder(path)
+    enc.remembered = remembered
     end = np.array([] if end_id is None else [end_id], "<u4")
     held, texts, n = [], [], 0
 
@@ -134,7 +138,8 @@ def encode_batches(batches, path: str, end_id: int | None, size: int = TOGETHER)
                 held, texts, n = [], [], 0
     if held:
         yield from done()
-    enc.known.clear()
+    if not keep:
+        enc.known.clear()
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = END_ID, rows_per_file: int = ROWS_PER_FILE) -> None:
