@@ -210,7 +210,7 @@ def _drawn(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int, clea
     held = scratch.spark.read.parquet(scratch.path("labels")).where("held")  # at most max_labels rows
     scale = (
         scored.join(F.broadcast(held), F.col("row.doc_id").cast("long") == F.col("id"), "left_semi")
-        .agg(*(F.percentile_approx(k, clean_loss, 10_000).alias(k) for k in _KINDS)).first()
+        .agg(*(F.percentile_approx(k, clean_loss, 10 * MAX_LABELS).alias(k) for k in _KINDS)).first()  # exact for so few rows, in any order
     )
     unit = {k: max(1.0, -scale[k]) if scale[k] is not None else 1.0 for k in _KINDS}
     weighed = scored.withColumn("log_weight", F.least(*(F.col(k) / F.lit(unit[k]) for k in _KINDS)))
