@@ -5,7 +5,10 @@ Two pairs of hashed n-gram models, of target text (labelled good: quality 1, tox
 over longer runs, which shows repetition and markup; the other counts a word once a document, over
 short runs, which shows rare spoiling words. A document's log weight is the ratio of its least
 target-like run, under either pair, on a scale on which CLEAN_LOSS of held-out good documents lie
-below -1: over a whole text, ordinary words would outweigh any spoiled passage.
+below -1: over a whole text, ordinary words would outweigh any spoiled passage. The least of many runs is
+lower than that of few, so the scale widens with length: documents are classed by the bit length of
+their number of words, and where LONG_LOSS of a class's held-out good documents, LEAST_HELD of them or more,
+lie lower, the scale from that class on follows them.
 
 Documents are drawn without replacement by Gumbel top-k: k is the number of documents whose weight
 is -1 or more, and the k largest of SHARPNESS times weight plus Gumbel noise stay. The noise
@@ -41,6 +44,10 @@ SMOOTHING = {"tokens": 2.0, "types": 1.0}
 RUN = {"tokens": 16, "types": 2}
 #: Share of held-out good documents below -1 under each pair.
 CLEAN_LOSS = 0.01
+#: Share of the held-out good documents of a class of lengths that may lie below -1 under each pair.
+LONG_LOSS = 0.02
+#: Held-out good documents that a class of lengths needs for a scale of its own.
+LEAST_HELD = 100
 #: Factor of weights before noise is added: the smallest tried that loses no more held-out good documents than a plain cut.
 SHARPNESS = 20.0
 SEED = 42
@@ -66,11 +73,11 @@ class Models:
     def __init__(self, ratios: dict[str, np.ndarray], buckets: int):
         self.ratios, self.buckets = ratios, buckets
 
-    def parts(self, text: str | None, known: dict[bytes, int]) -> tuple[float, float]:
-        """Smallest ratio of a run of words by tokens, and by types, where a word counts where it comes first."""
+    def parts(self, text: str | None, known: dict[bytes, int]) -> tuple[float, float, int]:
+        """Smallest ratio of a run of words by tokens, and by types, where a word counts where it comes first; class of length."""
         words, pairs = features(text, self.buckets, known)
         if not len(words):
-            return 0.0, 0.0
+            return 0.0, 0.0, 0
         tokens = self.ratios["tokens"][words]
         tokens[1:] += self.ratios["tokens"][pairs]
         again = np.ones(len(words), bool)
@@ -81,7 +88,7 @@ class Models:
             c = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
             n = min(RUN[kind], len(x))
             out.append(float((c[n:] - c[:-n]).min()))
-        return out[0], out[1]
+        return out[0], out[1], len(words).bit_length()
 
 
 def noise(doc_id, text: str | None, seed: int = SEED) -> float:
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, buckets: int = BUC
 
 
 def _scored(docs: DataFrame, models: Models, scratch: Scratch, seed: int, whole: bool) -> DataFrame:
-    """doc_id, tokens, types, noise of each row; with ``whole`` also row, a struct of all its columns. Written out."""
+    """doc_id, tokens, types, length, noise of each row; with ``whole`` also row, a struct of all its columns. Written out."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
     columns = docs.columns if whole else ["doc_id"]
@@ -167,12 +174,12 @@ def _scored(docs: DataFrame, models: Models, scratch: Scratch, seed: int, whole:
         known = {}
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            parts = np.array([shared.value.parts(t, known) for t in texts], np.float64).reshape(-1, 2)
+            parts = np.array([shared.value.parts(t, known) for t in texts], np.float64).reshape(-1, 3)
             g = np.array([noise(i, t, seed) for i, t in zip(ids, texts)], np.float64)
             rows = pa.StructArray.from_arrays([batch.column(c) for c in columns], fields=list(row))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(parts[:, 0]), pa.array(parts[:, 1]), pa.array(g)], ["row", *_KINDS, "noise"])
+            yield pa.RecordBatch.from_arrays([rows, pa.array(parts[:, 0]), pa.array(parts[:, 1]), pa.array(parts[:, 2].astype("i4")), pa.array(g)], ["row", *_KINDS, "length", "noise"])
 
-    out = StructType().add("row", schema).add("tokens", "double").add("types", "double").add("noise", "double")
+    out = StructType().add("row", schema).add("tokens", "double").add("types", "double").add("length", "integer").add("noise", "double")
     source = docs if whole else docs.select("doc_id", "text")
     scored = scratch.save(source.mapInArrow(lean(run), out), "scored")
     shared.destroy()
@@ -204,38 +211,50 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 10_000)
     return float(rest[k - above - 1])
 
 
-def _drawn(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int, clean_loss: float, sharpness: float, whole: bool, **fit_options) -> DataFrame:
+def _units(held: DataFrame, clean_loss: float, long_loss: float, least: int) -> dict[str, list[float]]:
+    """By kind and class of length, what counts as -1: never less than for shorter documents. ``held``: scores of held-out good ones."""
+    found = held.rollup("length").agg(
+        F.count(F.lit(1)).alias("n"),
+        # exact for so few rows, in any order
+        *(F.percentile_approx(k, [clean_loss, long_loss], 10 * MAX_LABELS).alias(k) for k in _KINDS),
+    ).collect()
+    every = {k: max([1.0, *(-r[k][0] for r in found if r["length"] is None and r["n"])]) for k in _KINDS}
+    own = {r["length"]: r for r in found if r["length"] is not None and r["n"] >= least}
+    return {k: [max([every[k], *(-own[c][k][1] for c in own if c <= length)]) for length in range(33)] for k in _KINDS}
+
+
+def _drawn(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int, whole: bool,
+    clean_loss: float = CLEAN_LOSS, long_loss: float = LONG_LOSS, least: int = LEAST_HELD, sharpness: float = SHARPNESS, **fit_options,
+) -> DataFrame:
     """_scored() with log_weight, gumbel_key and kept."""
     scored = _scored(docs, fit(docs, labels, scratch, **fit_options), scratch, seed, whole)
     held = scratch.spark.read.parquet(scratch.path("labels")).where("held")  # at most max_labels rows
-    scale = (
-        scored.join(F.broadcast(held), F.col("row.doc_id").cast("long") == F.col("id"), "left_semi")
-        .agg(*(F.percentile_approx(k, clean_loss, 10 * MAX_LABELS).alias(k) for k in _KINDS)).first()  # exact for so few rows, in any order
-    )
-    unit = {k: max(1.0, -scale[k]) if scale[k] is not None else 1.0 for k in _KINDS}
-    weighed = scored.withColumn("log_weight", F.least(*(F.col(k) / F.lit(unit[k]) for k in _KINDS)))
+    units = _units(scored.join(F.broadcast(held), F.col("row.doc_id").cast("long") == F.col("id"), "left_semi"), clean_loss, long_loss, least)
+    unit = lambda k: F.get(F.array(*map(F.lit, units[k])), F.col("length"))
+    weighed = scored.withColumn("log_weight", F.least(*(F.col(k) / unit(k) for k in _KINDS)))
     weighed = weighed.withColumn("gumbel_key", F.col("log_weight") * F.lit(sharpness) + F.col("noise"))
     limit = kth_largest(weighed.select("gumbel_key"), weighed.where("log_weight >= -1").count())
     return weighed.withColumn("kept", F.col("gumbel_key") >= F.lit(limit))
 
 
-def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, clean_loss: float = CLEAN_LOSS, sharpness: float = SHARPNESS, **fit_options) -> DataFrame:
-    """One row per document: doc_id, log_weight, gumbel_key, kept.
+def resample(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, **options) -> DataFrame:
+    """One row per document: doc_id, log_weight, gumbel_key, kept. ``options`` are those of _drawn() and fit().
 
     Null and empty texts have no n-grams and weight 0, so they stay. A null doc_id is never
     labelled. Repeated rows share their noise and so their fate; rows tied with the k-th stay.
     Without documents the result is empty, without good labels everything stays.
     """
-    drawn = _drawn(docs, labels, scratch, seed, clean_loss, sharpness, False, **fit_options)
+    drawn = _drawn(docs, labels, scratch, seed, False, **options)
     return drawn.select(F.col("row.doc_id").alias("doc_id"), "log_weight", "gumbel_key", "kept")
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, clean_loss: float = CLEAN_LOSS, sharpness: float = SHARPNESS, **fit_options) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, scratch: Scratch, seed: int = SEED, **options) -> DataFrame:
     """The documents that are drawn, with all their columns, whatever their names; rows as in resample().
 
     Rows are written out with their scores, as a second weighing would cost more than reading them again.
     """
-    drawn = _drawn(docs, labels, scratch, seed, clean_loss, sharpness, True, **fit_options)
+    drawn = _drawn(docs, labels, scratch, seed, True, **options)
     return drawn.where("kept").select("row.*")
 
 

@@ -20,7 +20,7 @@ def grams(text):
     return words, [*zip(words, words[1:])]
 
 
-def brute(rows, good, held, sharpness, clean_loss):
+def brute(rows, good, held, sharpness, clean_loss, long_loss, least):
     """(id, text) -> (weight, key, kept) from counts by words and pairs themselves."""
     count = {(side, kind): [Counter(), Counter()] for side in ("raw", "target") for kind in ("tokens", "types")}
     for i, t in rows:
@@ -46,19 +46,26 @@ def brute(rows, good, held, sharpness, clean_loss):
         return runs(tokens, quality.RUN["tokens"]), runs(types, quality.RUN["types"])
 
     found = [(i, t, *parts(t)) for i, t in rows]
-    unit = []
-    for k in (2, 3):
-        values = sorted(r[k] for r in found if r[0] in held)
-        unit.append(max(1.0, -values[max(0, math.ceil(clean_loss * len(values)) - 1)]) if values else 1.0)
-    weights = [min(a / unit[0], b / unit[1]) for _, _, a, b in found]
+    lowest = lambda values, share: -sorted(values)[max(0, math.ceil(share * len(values)) - 1)]
+
+    def unit(k, text):
+        length = len(grams(text)[0]).bit_length()
+        best = max(1.0, lowest([r[k] for r in found if r[0] in held], clean_loss))
+        for c in range(length + 1):
+            values = [r[k] for r in found if r[0] in held and len(grams(r[1])[0]).bit_length() == c]
+            if len(values) >= least:
+                best = max(best, lowest(values, long_loss))
+        return best
+
+    weights = [min(a / unit(2, t), b / unit(3, t)) for _, t, a, b in found]
     keys = [sharpness * w + quality.noise(i, t) for (i, t), w in zip(rows, weights)]
     k = sum(w >= -1 for w in weights)
     limit = -math.inf if k >= len(keys) else sorted(keys, reverse=True)[k - 1] if k else math.inf
     return weights, keys, [x >= limit for x in keys]
 
 
-@pytest.mark.parametrize(("sharpness", "clean_loss"), [(1.0, 0.2), (20.0, 0.05)])
-def test_against_plain_counts(spark, sharpness, clean_loss):
+@pytest.mark.parametrize(("sharpness", "clean_loss", "long_loss", "least"), [(1.0, 0.2, 0.02, 100), (20.0, 0.3, 0.05, 3)])
+def test_against_plain_counts(spark, sharpness, clean_loss, long_loss, least):
     rng = random.Random(5)
     texts = []
     for i in range(150):
@@ -75,9 +82,9 @@ def test_against_plain_counts(spark, sharpness, clean_loss):
     good, held = {r.id for r in named if not r.held}, {r.id for r in named if r.held}
     assert good and held
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    weights, keys, kept = brute(rows, good, held, sharpness, clean_loss)
+    weights, keys, kept = brute(rows, good, held, sharpness, clean_loss, long_loss, least)
     want = sorted(((str(r[0]), w, k) for r, w, k in zip(rows, weights, kept)), key=lambda x: x[:2])
-    options = {"sharpness": sharpness, "clean_loss": clean_loss}
+    options = {"sharpness": sharpness, "clean_loss": clean_loss, "long_loss": long_loss, "least": least}
     got = sorted(((str(r.doc_id), r.log_weight, r.kept) for r in quality.resample(df, labels, Scratch(spark, "test"), **options).collect()), key=lambda x: x[:2])
     assert [(a, k) for a, _, k in got] == [(a, k) for a, _, k in want] and 0 < sum(kept) < len(kept)
     assert [w for _, w, _ in got] == pytest.approx([w for _, w, _ in want], abs=1e-4)
@@ -105,3 +112,12 @@ def test_ties_at_the_limit_stay(spark):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality long, toxic long")
     rows = quality.resample(df, labels, Scratch(spark, "test"), buckets=1 << 12).collect()
     assert len({(r.doc_id, r.gumbel_key) for r in rows}) == 2 and len({(r.doc_id, r.kept) for r in rows}) == 2
+
+
+def test_scale_widens_with_length(spark):
+    """Classes with too few documents take the scale of shorter ones, and no scale is narrower than a shorter class's."""
+    rows = [(5, -2.0, 0.0)] * 90 + [(6, -3.0, 0.0)] * 4 + [(8, -5.0, -6.0)] * 10 + [(9, -4.0, 0.0)] * 10
+    held = spark.createDataFrame(rows, "length int, tokens double, types double")
+    units = quality._units(held, 0.3, 0.1, 10)
+    assert units["tokens"] == [2.0] * 8 + [5.0] * 25 and units["types"] == [1.0] * 8 + [6.0] * 25
+    assert quality._units(held.limit(0), 0.3, 0.1, 10) == {k: [1.0] * 33 for k in ("tokens", "types")}
